@@ -35,7 +35,7 @@ DICTIONARY_BYTES = 64 << 10
 DICTIONARY_DOCS = 1000
 #: Bytes of frames after which a shard is closed.
 SHARD_BYTES = 4 << 20
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 1_000_000
 _INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u8")])
 _STEM_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -105,6 +105,16 @@ class Encoder:
         return b"".join(got) + self.end
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker, kept from task to task with its cache."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pack_shard(docs: list[tuple[int | None, bytes, int]], dictionary: bytes, width: int) -> bytes:
     """A shard of (id, frame, tokens) rows."""
     index = np.zeros(len(docs), _INDEX)
@@ -153,7 +163,7 @@ def train_dictionary(docs: DataFrame, path: str, limit: int = DICTIONARY_DOCS, s
     rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").dropna()
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.encode(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
@@ -173,7 +183,7 @@ def write_shards(docs: DataFrame, path: str, out: str) -> str:
     ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches):
-        encoder, packer = Encoder(path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
+        encoder, packer = encoder_of(path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
         held, size, no = [], 0, 0
 
         def shard():
