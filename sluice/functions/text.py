@@ -36,6 +36,11 @@ class TokenizerOptions:
         return IDENTIFIER + (OPERATORS if self.preserve_operators else "") + NUMBER
 
 
+def bound(col: Column, make) -> Column:
+    """make(col) with col evaluated once, even where make uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(col), make), 1)
+
+
 def _is_identifier(t: Column) -> Column:
     return t.rlike("^[A-Za-z_]")
 
@@ -79,10 +84,13 @@ def ngrams(sequence: Column, size: int) -> Column:
 
 def tokenize(text: Column, options: TokenizerOptions = TokenizerOptions()) -> Column:
     """All tokens of a text: the sequence (if single tokens are asked for), n-grams by size, subwords."""
-    seq = base_sequence(text, options)
-    parts = [seq] if options.ngram_min <= 1 else []
-    parts += [ngrams(seq, n) for n in range(max(2, options.ngram_min), options.ngram_max + 1)]
-    return F.concat(*parts, subwords(text, options))
+    sizes = range(max(2, options.ngram_min), options.ngram_max + 1)
+
+    def runs(seq):
+        parts = [seq] if options.ngram_min <= 1 else []
+        return F.concat(F.array().cast("array<string>"), *parts, *[ngrams(seq, n) for n in sizes])
+
+    return F.concat(bound(base_sequence(text, options), runs), subwords(text, options))
 
 
 def normalize(text: Column) -> Column:
@@ -93,8 +101,12 @@ def normalize(text: Column) -> Column:
 def shingles(text: Column, size: int = 3) -> Column:
     """Distinct runs of size lower-cased words; a shorter text is one run, one without words has none."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w):
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) > 0, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    return bound(words, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
