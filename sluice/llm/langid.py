@@ -80,14 +80,14 @@ class PpmModel:
         bits, open_ = np.zeros((len(self.langs), len(code))), np.ones((len(self.langs), len(code)), bool)
         for order in range(ORDER, -1, -1):
             mask = np.uint32((1 << (8 * (order + 1))) - 1)
-            sym, cost = code & mask, None
+            sym = code & mask
             at, hit = _find(self.symbols[order], sym)
-            cost = np.where(hit, self.sym_cost[order][:, at] if len(self.symbols[order]) else np.nan, np.nan)
+            cost = np.where(hit, self.sym_cost[order][:, at], np.nan) if len(self.symbols[order]) else np.full(bits.shape, np.nan)
             own = open_ & ~np.isnan(cost)
             bits[own] += cost[own]
             open_ &= ~own
             at, hit = _find(self.contexts[order], sym >> np.uint32(8))
-            esc = np.where(hit, self.esc_cost[order][:, at] if len(self.contexts[order]) else 0.0, 0.0)
+            esc = np.where(hit, self.esc_cost[order][:, at], 0.0) if len(self.contexts[order]) else np.zeros(bits.shape)
             bits += np.where(open_, esc, 0.0)
         return bits + 8.0 * open_
 
