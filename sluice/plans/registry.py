@@ -211,10 +211,10 @@ _RAW = "CASE doc_id % 6 WHEN 0 THEN 'TIER_1_SIMPLE' WHEN 1 THEN '[TIER_2_REFACTO
 _CANON = "CASE WHEN trim(label, '[]') = 'TIER_2_REFACTOR' THEN 'TIER_2_MEDIUM' ELSE trim(label, '[]') END"
 
 
-@query("encode_labels", f"WITH l AS (SELECT doc_id, {_RAW} AS label FROM documents), t AS (SELECT doc_id, label, CAST(CASE WHEN label IN ('TIER_1_SIMPLE', '0') THEN 0 WHEN label IN ('TIER_2_MEDIUM', '1') THEN 1 WHEN label IN ('TIER_3_COMPLEX', '2') THEN 2 END AS INTEGER) AS tier FROM l) SELECT doc_id, label, tier, CASE tier WHEN 0 THEN 'TIER_1_SIMPLE' WHEN 1 THEN 'TIER_2_MEDIUM' WHEN 2 THEN 'TIER_3_COMPLEX' ELSE 'UNKNOWN' END AS name FROM t")
+@query("encode_labels", f"WITH l AS (SELECT doc_id, {_RAW} AS label FROM documents), t AS (SELECT doc_id, label, CAST(CASE WHEN label IN ('TIER_1_SIMPLE', '0') THEN 0 WHEN label IN ('TIER_2_MEDIUM', '1') THEN 1 WHEN label IN ('TIER_3_COMPLEX', '2') THEN 2 END AS INTEGER) AS tier FROM l) SELECT doc_id, label, CAST(coalesce(tier, 255) AS INTEGER) AS tier, CASE tier WHEN 0 THEN 'TIER_1_SIMPLE' WHEN 1 THEN 'TIER_2_MEDIUM' WHEN 2 THEN 'TIER_3_COMPLEX' ELSE 'UNKNOWN' END AS name FROM t")
 def encode_labels(spark, sf):
     rows = _t(spark, sf, "documents").select("doc_id", F.expr(_RAW).alias("label"))
-    return rows.withColumn("tier", tx.encode_tier(F.col("label"))).withColumn("name", tx.decode_tier(F.col("tier")))
+    return rows.withColumn("tier", tx.encode_tier(F.col("label"))).withColumn("name", tx.decode_tier(F.col("tier"))).withColumn("tier", F.coalesce("tier", F.lit(255)))
 
 
 @query("canonicalize_labels", f"WITH l AS (SELECT doc_id, {_RAW} AS label FROM documents), c AS (SELECT doc_id, {_CANON} AS label FROM l) SELECT doc_id, label, label IN ('TIER_1_SIMPLE', 'TIER_2_MEDIUM', 'TIER_3_COMPLEX') AS valid FROM c")
