@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Query vectors of a block, and vectors of a block of the all-pairs links, about.
 BLOCK = 2048
+#: Bins of a histogram of cosines.
+BINS = 1 << 16
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -57,17 +59,22 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 
 
+def _dealt(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(i, j, side, id, vec): the vectors of each pair of blocks of about BLOCK vectors; i = j holds one block."""
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).dropna()
+    blocks = max(1, -(-rows.count() // BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "vec")
+
+
 def link_forest(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(a, b): edges that connect what all pairs with cosine >= threshold connect, fewer than vectors in each block.
 
     Every pair is compared, as the definition asks: blocks of about BLOCK vectors meet in pairs of blocks, each a task
     of bounded size, which returns a spanning forest and not its pairs.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")).dropna()
-    blocks = max(1, -(-rows.count() // BLOCK))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    dealt = dealt.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "id", "vec")
+    dealt = _dealt(vectors, id_col, vec_col)
 
     def forest(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -99,3 +106,87 @@ def threshold_counts(pairs: DataFrame, thresholds) -> DataFrame:
     """(threshold, n): pairs of at least each threshold."""
     got = pairs.agg(*[F.sum((F.col("similarity") >= t).cast("long")).alias(f"t{k}") for k, t in enumerate(thresholds)])
     return got.select(F.explode(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.coalesce(f"t{k}", F.lit(0)).alias("n")) for k, t in enumerate(thresholds)])).alias("x")).select("x.*")
+
+
+def _each_block(vectors: DataFrame, make, schema: str, id_col: str, vec_col: str) -> DataFrame:
+    """make(ids of a, ids of b, similarities) over slices of each pair of blocks; every pair of rows is in one slice.
+
+    Rows are put in order of id first, so a second run over the same vectors sees the same doubles.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        group = group.take(pa.array(np.argsort(group.column("id").to_numpy(), kind="stable")))
+        ids, side, x = group.column("id").to_numpy(), group.column("side").to_numpy(), _matrix(group.column("vec").combine_chunks())
+        split = group.column("i")[0] != group.column("j")[0]
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if split else (np.arange(len(ids)),) * 2
+        out = []
+        for lo in range(0, len(left), 256):
+            part = left[lo : lo + 256]
+            sim = np.clip(x[part] @ x[right].T, -1.0, 1.0)
+            r, c = np.nonzero(ids[part][:, None] != ids[right][None, :] if split else part[:, None] < right[None, :])
+            out.append(make(ids[part[r]], ids[right[c]], sim[r, c]))
+        return pa.concat_tables(out) if out else make(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    return _dealt(vectors, id_col, vec_col).groupBy("i", "j").applyInArrow(run, schema)
+
+
+def all_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id_a, id_b, similarity): every pair id_a < id_b with cosine >= threshold; rows with a null id or vector take no part."""
+
+    def make(a, b, sim):
+        keep = (sim >= threshold) & (a != b)
+        a, b, sim = a[keep], b[keep], sim[keep]
+        return pa.table({"id_a": np.minimum(a, b), "id_b": np.maximum(a, b), "similarity": sim})
+
+    return _each_block(vectors, make, "id_a long, id_b long, similarity double", id_col, vec_col)
+
+
+def all_threshold_counts(vectors: DataFrame, thresholds, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(threshold, n): pairs of at least each threshold among all pairs; a block pair returns its counts only."""
+    at = np.array([float(t) for t in thresholds])
+
+    def make(a, b, sim):
+        sim = sim[a != b]
+        return pa.table({"threshold": at, "n": np.array([int((sim >= t).sum()) for t in at], np.int64)})
+
+    counted = _each_block(vectors, make, "threshold double, n long", id_col, vec_col).groupBy("threshold").agg(F.sum("n").alias("n"))
+    grid = vectors.sparkSession.createDataFrame([(float(t),) for t in at], "threshold double")
+    return grid.join(counted, "threshold", "left").select("threshold", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def all_percentiles(vectors: DataFrame, points=(50.0, 75.0, 90.0, 95.0, 99.0, 99.5, 99.9), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(percentile, similarity) over all pairs: exact, with linear interpolation, and without the pairs in one place.
+
+    Block pairs first return histograms of BINS bins; a second run returns the values of the few bins that hold a
+    wanted rank. No pair at all: null.
+    """
+    bin_of = lambda sim: np.minimum(((sim + 1.0) * (BINS / 2)).astype(np.int64), BINS - 1)
+
+    def count(a, b, sim):
+        at, n = np.unique(bin_of(sim[a != b]), return_counts=True)
+        return pa.table({"bin": at.astype(np.int64), "n": n.astype(np.int64)})
+
+    got = _each_block(vectors, count, "bin long, n long", id_col, vec_col).groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toArrow()
+    bins, sizes = got.column("bin").to_numpy(), got.column("n").to_numpy()
+    spark, schema, total = vectors.sparkSession, "percentile double, similarity double", int(sizes.sum())
+    if not total:
+        return spark.createDataFrame([(float(p), None) for p in points], schema)
+    ends = np.cumsum(sizes)
+    places = [(total - 1) * p / 100 for p in points]
+    ranks = sorted({r for x in places for r in (int(np.floor(x)), int(np.ceil(x)))})
+    wanted = np.unique(np.searchsorted(ends, ranks, side="right"))
+    chosen = bins[wanted]
+
+    def values(a, b, sim):
+        sim = sim[a != b]
+        held = bin_of(sim)
+        keep = np.isin(held, chosen)
+        return pa.table({"bin": held[keep], "similarity": sim[keep]})
+
+    starts = spark.createDataFrame([(int(bins[w]), int(ends[w] - sizes[w])) for w in wanted], "bin long, start long")
+    rows = _each_block(vectors, values, "bin long, similarity double", id_col, vec_col).join(F.broadcast(starts), "bin")
+    place = F.row_number().over(Window.partitionBy("bin").orderBy("similarity")) - 1 + F.col("start")
+    at = {r["rank"]: r["similarity"] for r in rows.select(place.alias("rank"), "similarity").filter(F.col("rank").isin(ranks)).collect()}
+    found = [(float(p), at[int(np.floor(x))] + (at[int(np.ceil(x))] - at[int(np.floor(x))]) * (x - np.floor(x))) for p, x in zip(points, places)]
+    return spark.createDataFrame([(p, float(v)) for p, v in found], schema)

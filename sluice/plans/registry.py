@@ -374,7 +374,11 @@ def sim_thresholds(spark, sf):
 
 @query("run_summary", f"WITH {_PAIRS} SELECT (SELECT count(*) FROM embeddings) AS samples, (SELECT max(len(embedding)) FROM embeddings)::INTEGER AS dimensions, count(*) AS similar_pairs, count(*) FILTER (la <> lb) AS cross_label_pairs, CAST({SIM} AS DOUBLE) AS threshold FROM pairs WHERE similarity >= {SIM}")
 def run_summary(spark, sf):
-    pairs = _with_labels(_searched(spark, sf, threshold=SIM), spark, sf).agg(F.count("*").alias("similar_pairs"), F.count(F.when(~F.col("same_label"), 1)).alias("cross_label_pairs"))
+    return _summary(spark, sf, _with_labels(_searched(spark, sf, threshold=SIM), spark, sf))
+
+
+def _summary(spark, sf, pairs):
+    pairs = pairs.agg(F.count("*").alias("similar_pairs"), F.count(F.when(~F.col("same_label"), 1)).alias("cross_label_pairs"))
     check = files.check_embeddings(_t(spark, sf, "embeddings")).select(F.col("n").alias("samples"), F.col("largest_dim").alias("dimensions"))
     return check.join(pairs).withColumn("threshold", F.lit(SIM))
 
@@ -411,8 +415,12 @@ m AS (SELECT *, (a = 'TIER_2_MEDIUM' AND b = 'TIER_3_COMPLEX') OR (a = 'TIER_3_C
 g AS (SELECT DISTINCT CASE WHEN mixed AND about THEN CASE WHEN a = 'TIER_2_MEDIUM' THEN id_a ELSE id_b END WHEN mixed THEN id_b WHEN lower(trim(text_a)) = lower(trim(text_b)) THEN id_b END AS id FROM m)
 SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM g WHERE id IS NOT NULL)""")
 def reconcile_cross_label(spark, sf):
+    return _reconciled(spark, sf, _with_labels(_searched(spark, sf, threshold=0.2), spark, sf))
+
+
+def _reconciled(spark, sf, pairs):
     name = lambda c: F.when(F.col(c) % 3 == 0, "TIER_1_SIMPLE").when(F.col(c) % 3 == 1, "[TIER_2_REFACTOR]").otherwise("TIER_3_COMPLEX")
-    pairs = _with_labels(_searched(spark, sf, threshold=0.2), spark, sf).filter("not same_label")
+    pairs = pairs.filter("not same_label")
     text_a = F.when(F.col("query_id") % 200 == 0, "a blocking call").otherwise("same text")
     text_b = F.when(F.col("id") % 2 == 0, " Same Text").otherwise("other")
     drop = pairs.select(dedup.conflict_drop(name("label_a"), name("label_b"), text_a, text_b, F.col("query_id"), F.col("id")).alias("id")).dropna().distinct()
@@ -421,8 +429,43 @@ def reconcile_cross_label(spark, sf):
 
 @query("greedy_dedup")
 def greedy_dedup(spark, sf):
-    pairs = _searched(spark, sf, threshold=0.2).select(F.col("query_id").alias("id_a"), F.col("id").alias("id_b"), "similarity")
-    return dedup.greedy_drops(pairs, 0.3)
+    return dedup.greedy_drops(similarity.all_pairs(_t(spark, sf, "embeddings"), 0.2), 0.3)
+
+
+# The queries above with SQL take the SQL's query ids; these take every pair id_a < id_b. SQL of theirs isn't written.
+def _all_labelled(spark, sf, threshold):
+    pairs = similarity.all_pairs(_t(spark, sf, "embeddings"), threshold).withColumnsRenamed({"id_a": "query_id", "id_b": "id"})
+    return _with_labels(pairs, spark, sf)
+
+
+@query("cosine_pairs_all")
+def cosine_pairs_all(spark, sf):
+    return _round(_all_labelled(spark, sf, SIM), "similarity").select("query_id", "id", "similarity", "label_a", "label_b", "same_label")
+
+
+@query("cross_label_pairs_all")
+def cross_label_pairs_all(spark, sf):
+    return _round(_all_labelled(spark, sf, SIM).filter("not same_label"), "similarity").select("query_id", "id", "similarity", "label_a", "label_b")
+
+
+@query("sim_percentiles_all")
+def sim_percentiles_all(spark, sf):
+    return _round(similarity.all_percentiles(_t(spark, sf, "embeddings")), "similarity")
+
+
+@query("sim_thresholds_all")
+def sim_thresholds_all(spark, sf):
+    return similarity.all_threshold_counts(_t(spark, sf, "embeddings"), _GRID)
+
+
+@query("run_summary_all")
+def run_summary_all(spark, sf):
+    return _summary(spark, sf, _all_labelled(spark, sf, SIM))
+
+
+@query("reconcile_cross_label_all")
+def reconcile_cross_label_all(spark, sf):
+    return _reconciled(spark, sf, _all_labelled(spark, sf, 0.2))
 
 
 _SETS = f"w AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents), s0 AS (SELECT id, list_sort(list_distinct(list_transform(range(1, greatest(CAST(len(w) AS BIGINT) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM w WHERE len(w) > 0)"

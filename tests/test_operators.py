@@ -130,3 +130,31 @@ def test_jsonl_reading(spark, tmp_path):
     rows, rejected = files.read_jsonl_with_rejects(spark, f"file://{tmp_path}/x.jsonl")
     assert rejected.count() == 2 and rows.count() == 4
     assert files.read_pairs(spark, f"file://{tmp_path}/none.csv") is None
+
+
+def test_all_pairs_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((70, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, [1.0] * 6), (99, None)], "vec_id long, embedding array<float>").repartition(3)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    sim = u @ u.T
+    every = sim[np.triu_indices(70, 1)]
+    got = similarity.all_pairs(df, 0.3).collect()
+    assert sorted((r.id_a, r.id_b) for r in got) == [(i, j) for i in range(70) for j in range(i + 1, 70) if sim[i, j] >= 0.3]
+    assert all(abs(r.similarity - sim[r.id_a, r.id_b]) < 1e-12 for r in got)
+    assert {r.threshold: r.n for r in similarity.all_threshold_counts(df, (0.1, 0.5, 1.1)).collect()} == {t: int((every >= t).sum()) for t in (0.1, 0.5, 1.1)}
+    points = (0.0, 50.0, 75.0, 99.9, 100.0)
+    found = {r.percentile: r.similarity for r in similarity.all_percentiles(df, points).collect()}
+    assert all(abs(found[p] - np.percentile(every, p)) < 1e-12 for p in points)
+    none = df.limit(0)
+    assert similarity.all_pairs(none, 0.3).count() == 0 and {r.n for r in similarity.all_threshold_counts(none, (0.1,)).collect()} == {0} and similarity.all_percentiles(none, (50.0,)).first().similarity is None
+
+
+def test_greedy_dedup_takes_every_pair(spark, tmp_path):
+    from sluice.plans import registry
+
+    spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    assert [r.id for r in registry.greedy_dedup(spark, f"file://{tmp_path}").collect()] == [2]
+    assert [(r.query_id, r.id) for r in registry.cross_label_pairs_all(spark, f"file://{tmp_path}").collect()] == [(1, 2)]
