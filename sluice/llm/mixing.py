@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import table, written
@@ -57,7 +57,7 @@ def _positions(docs: DataFrame, sources: DataFrame) -> DataFrame:
     rows = docs.join(F.broadcast(small) if _few(small) else small, same).drop(small["source"])
     rows = rows.withColumn("slice", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.col("slices") / F.lit(float(1 << 32))).cast("long"))
     sums = rows.groupBy("source", "slice").agg(F.sum("size").alias("part"))
-    inner = Window.partitionBy("source", "slice").orderBy("h", F.col("doc_id").asc_nulls_first(), "size")
+    inner = Window.partitionBy("source", "slice").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", *(["row_key"] if "row_key" in docs.columns else []))
     # sums of slices: rows / SLICE_ROWS rows, summed up source by source
     before = sums.withColumn("before", F.sum("part").over(Window.partitionBy("source").orderBy("slice")) - F.col("part"))
     inside = rows.withColumn("inside", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
@@ -71,15 +71,15 @@ def _few(df: DataFrame, most: int = 100_000) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies of every row.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = 1.0, row_key: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken and copies of every row; with a row_key also that, as row_key.
 
     taken is size times copies, the rounds (0 to 3) in which the mix takes the document. Null texts have size 0, a null
     source is a source of its own (last). The order is by md5 of the id, then id, then size, so reruns agree; repeated
-    rows have places of their own. Documents of size 0 are taken with their neighbours. An empty table gives no rows.
+    rows have places of their own. A row_key orders rows that are alike in these. Documents of size 0 are taken with their neighbours. An empty table gives no rows.
     """
     key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("h")), "sizes")
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), key.alias("h"), *([] if row_key is None else [row_key.alias("row_key")])), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     t = targets(per_source.select("source", "source_size"), weights, MOST_ROUNDS, share)
     t = written(per_source.join(t.withColumnsRenamed({"source": "t_source", "source_size": "t_size"}), F.col("source").eqNullSafe(F.col("t_source"))).select("source", "source_size", "rows", "target", "budget"), "targets")
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if end is not None:
         last = F.struct(F.lit(end[0]).alias("t"), F.lit(end[1]).alias("h"))
         copies = reduce(lambda a, b: a + b, [F.when(F.struct(x.alias("t"), F.col("h").alias("h")) <= last, 1).otherwise(0) for x in times])
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"), *([] if row_key is None else ["row_key"]))
 
 
 def _end(placed: DataFrame, times: list):

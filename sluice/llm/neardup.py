@@ -28,25 +28,36 @@ RADIUS = 3
 SEED = 42
 #: Members of a chunk of a posting list, about.
 CHUNK = 1024
+#: Similar documents: shingles of this many words, and tenths of the Jaccard similarity of their sets.
+SIMILAR_WORDS, SIMILAR_TENTHS = 5, 8
+#: Texts of the sample that tells common shingles, about, and the most that are told.
+SAMPLE, COMMON = 10_000, 200_000
 _TRIPLES = [tuple(base + p for p in range(4) if p != out) for base in (0, 4) for out in range(4)]
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
-    """64-bit SimHash as an unsigned integer: XXH64 of lower-cased (A-Z) word shingles, repeats included.
-
-    Fewer words than a shingle has: the whole sequence is one; none (null and empty texts): 0.
-    """
+def _hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the lower-cased (A-Z) word shingles, in order."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - width].tolist()]
     stops = (ends[width - 1 :] - 1).tolist()
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
+    """64-bit SimHash as an unsigned integer: XXH64 of lower-cased (A-Z) word shingles, repeats included.
+
+    Fewer words than a shingle has: the whole sequence is one; none (null and empty texts): 0.
+    """
+    h = _hashes(text, width)
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(h), 1 << 14):
         ones += np.unpackbits(h[lo : lo + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -166,5 +177,97 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(final, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
+    """The sorted distinct shingle hashes; null and empty texts: none; fewer words than a shingle has: one."""
+    return np.unique(_hashes(text, width))
+
+
+def _common_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles of three or more distinct texts of a sample; they only set an order, so a miss costs time and no pair."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    spot = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < F.lit(share * (1 << 20))
+    sample = texts.select("text").filter(spot).distinct()
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["x"])
+
+    counted = sample.mapInArrow(run, "x long").groupBy("x").count().filter("count > 2").orderBy(F.desc("count"), "x").limit(COMMON)
+    return np.sort(counted.select("x").toArrow().column("x").to_numpy().view(np.uint64))
+
+
+def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): all pairs of keys of sets (key, n, prefix, th) whose shingle sets have a similarity of 0.8 or more.
+
+    Prefix filtering, exact: in one fixed order, common shingles last, two such sets share one of each other's first
+    n - ceil(0.8 n) + 1 shingles. Candidates are verified on the whole sets of their texts (texts: text, th). Long
+    posting lists are dealt out in pairs of chunks.
+    """
+    postings = sets.select("key", "n", F.explode("prefix").alias("x"))
+    lengths = postings.groupBy("x").agg(F.count("*").alias("held")).filter("held > 1")
+    met = postings.join(lengths, "x").withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("long"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    met = met.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "key", "n")
+    a, b = met.withColumnsRenamed({"key": "a", "n": "n_a", "side": "side_a"}), met.withColumnsRenamed({"key": "b", "n": "n_b", "side": "side_b"})
+    fits = (F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("side_a") != F.col("side_b"))) & (10 * F.least("n_a", "n_b") >= SIMILAR_TENTHS * F.greatest("n_a", "n_b"))
+    pairs = written(a.join(b, ["x", "i", "j"]).filter(fits).select("a", "b").distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    named = written(sets.join(wanted, "key", "left_semi").select("th"), "wanted")
+
+    def spell(batches):
+        for batch in batches:
+            got = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["key", "s"])
+
+    named = F.broadcast(named) if named.count() <= 1_000_000 else named
+    spelled = written(texts.join(named, "th", "left_semi").select("text").mapInArrow(spell, "key long, s binary").dropDuplicates(["key"]), "sets")
+    both = pairs.join(spelled.withColumnsRenamed({"key": "a", "s": "s_a"}), "a").join(spelled.withColumnsRenamed({"key": "b", "s": "s_b"}), "b")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("s_a"), batch.column("s_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(10 * shared >= SIMILAR_TENTHS * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "s_a", "s_b").mapInArrow(verify, "a long, b long")
+
+
+def _set_key(s: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set; the empty set: 0."""
+    return int(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED)], np.uint64).view(np.int64)[0]) if len(s) else 0
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, th (hash of the text) and root of every row: rows of one root are linked by similarities of 0.8 or more.
+
+    The similarity is the Jaccard of the sets of five-word shingles; no pair is missed. Null and empty texts are one
+    group, a null id is grouped by its text, repeated rows come back as often as they came in.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    common = _common_shingles(texts)
+
+    def make(part):
+        keys, sizes, prefixes = [], [], []
+        for t in part.column("text").to_pylist():
+            s = shingle_set(t)
+            n = len(s)
+            often = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(n, bool)
+            keys.append(_set_key(s))
+            sizes.append(n)
+            prefixes.append(np.concatenate([s[~often], s[often]])[: n + (-SIMILAR_TENTHS * n // 10) + 1 if n else 0].view(np.int64))
+        return keys, sizes, prefixes
+
+    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    rows = written(append_columns(texts, "text", fields, make).drop("text"), "prefixes")
+    sets = rows.groupBy("key").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min("th").alias("th"))
+    stars = components(similar_links(written(sets, "distinct-sets"), texts))
+    roots = stars.select(F.col("node").alias("key"), "root").union(stars.select(F.col("root").alias("key"), "root").distinct())
+    return rows.select("doc_id", "th", "key").join(roots, "key", "left").select("doc_id", "th", F.coalesce("root", "key").alias("root"))
+
+
 def op5_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

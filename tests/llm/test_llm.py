@@ -253,3 +253,39 @@ def test_pipeline_on_odd_rows(spark, docs, tmp_path):
     spark.createDataFrame([(0, docs.filter("doc_id = 102").first().text[:200])], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and got.filter("doc_id = 102").count() == 0 and got.count() > 0
+
+
+def edited_words(rng, text, n):
+    words = text.split()
+    for k in rng.sample(range(len(words)), n):
+        words[k] = f"edit{k}"
+    return " ".join(words)
+
+
+def test_similar_groups_match_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 8)
+    rng = random.Random(11)
+    base, shared = [prose(rng, 120) for _ in range(6)], prose(rng, 40)
+    texts = [edited_words(rng, b, n) for b in base for n in (0, 1, 2, 3, 5, 8)] + [shared + " " + prose(rng, 8) for _ in range(40)] + [r.text for r in docs.select("text").collect()]
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])
+            if alike and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    root = {r.doc_id: r.root for r in neardup.similar_groups(df).collect()}
+    assert len(root) == len(texts) and len(set(zip(label, (root[i] for i in range(len(texts)))))) == len(set(label)) == len(set(root.values()))
+    assert neardup.similar_groups(df.limit(0)).count() == 0
+
+
+def test_pipeline_near_dedup_takes_edited_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = prose(rng, 200)
+    near = edited_words(rng, base, 3)
+    assert (neardup.fingerprint(base) ^ neardup.fingerprint(near)).bit_count() > 3
+    df = spark.createDataFrame([(1, base), (2, near), (3, prose(rng, 200))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()) == [1, 3]
