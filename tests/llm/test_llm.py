@@ -289,3 +289,17 @@ def test_pipeline_near_dedup_takes_edited_copies(spark):
     assert (neardup.fingerprint(base) ^ neardup.fingerprint(near)).bit_count() > 3
     df = spark.createDataFrame([(1, base), (2, near), (3, prose(rng, 200))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()) == [1, 3]
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    rows = [(3, a, "s0"), (5, a, "s0"), (5, b, "s1"), (None, c, "s0"), (None, c, "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, df, "")
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(3, a), (5, b), (0, c)])
+    want = {r.h: r.n for r in mixing.mix(df, row_key=F.col("text")).groupBy(F.col("row_key").alias("h")).agg(F.sum("copies").alias("n")).filter("n > 0").collect()}
+    got = {r.text: r["count"] for r in corpus_pipeline.mix_sources(spark, df, "").groupBy("text").count().collect()}
+    assert got == want and c in got
