@@ -487,7 +487,7 @@ def jaccard_band(spark, sf):
 
 @query("greedy_window_dedup")
 def greedy_window_dedup(spark, sf):
-    return dedup.window_dedup(_t(spark, sf, "benchmark"), "item_id", "text")
+    return dedup.window_dedup(_t(spark, sf, "documents"), "doc_id", "text")
 
 
 # --- splits and samples ---------------------------------------------------------------------------------------------

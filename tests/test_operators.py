@@ -158,3 +158,13 @@ def test_greedy_dedup_takes_every_pair(spark, tmp_path):
     spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     assert [r.id for r in registry.greedy_dedup(spark, f"file://{tmp_path}").collect()] == [2]
     assert [(r.query_id, r.id) for r in registry.cross_label_pairs_all(spark, f"file://{tmp_path}").collect()] == [(1, 2)]
+
+
+def test_greedy_window_dedup_reads_documents_past_its_window(spark, tmp_path):
+    from sluice.plans import registry
+
+    texts = [f"w{i} x{i} y{i} z{i}" for i in range(260)]
+    texts[230], texts[250] = texts[100], texts[5]  # the first is still among the last 200 kept, the second isn't
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.seq: r.kept for r in registry.greedy_window_dedup(spark, f"file://{tmp_path}").collect()}
+    assert [i for i in range(260) if not got[i]] == [230]
