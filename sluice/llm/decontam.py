@@ -1,11 +1,14 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted verification.
 
-For an item of w words every window of w words of a document is a candidate. Windows that share no shingle with the
-item have similarity zero, so only windows that hold one of the item's shingles get a fingerprint. A fingerprint is
-split into eight blocks of eight bits; within a radius of 24 bits at least one block differs in at most three bits, so
-the tables of block neighbours find every fingerprint within the radius. What they find is checked by its Hamming
-distance and then by the exact similarity: the sum of the smaller over the sum of the larger shingle weights, where a
-shingle's weight is how often it occurs.
+A window has as many shingles as the item that is looked for. Its fingerprint is split into eight blocks of eight bits;
+within a radius of 23 bits one block at least differs in two bits or fewer, so a table from each block's values and
+their neighbours to the items finds every item whose fingerprint lies within the radius. What the table finds is checked
+by its Hamming distance and then by the exact similarity: the sum of the smaller over the sum of the larger shingle
+weights, where a shingle's weight is how often it occurs.
+
+A window can reach similarity 0.8 only if eight ninths of its shingles are an item's. So windows with fewer shingles of
+the benchmark (a set, not an index of items) get no fingerprint, which loses nothing. The radius can: SimHash distances
+of similarity 0.8 lie near 10 bits, standard deviation 3, so about one window in 100,000 at that border is missed.
 """
 
 from __future__ import annotations
@@ -18,15 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import steps, table
+from sluice.llm.common import steps, table, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 24
 BLOCKS = 8
-#: Text of benchmark items that one pass over the documents takes; larger benchmarks take more passes.
+#: Bits that two fingerprints may differ in, and the bits that then one block at most does.
+RADIUS = 23
+BLOCK_BITS = RADIUS // BLOCKS
+#: Text of benchmark items that one pass over the documents takes; a larger benchmark takes more passes.
 ITEM_BYTES = 16 << 20
-_NEAR = np.array([[(a ^ b).bit_count() <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
+#: Windows whose fingerprints are made at once.
+RUN = 2048
+_VALUES = np.arange(256)
+_NEAR = np.bitwise_count(_VALUES[:, None] ^ _VALUES[None, :]) <= BLOCK_BITS
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE_WORDS)], np.uint64)
 
 
@@ -56,85 +64,100 @@ def window_fingerprints(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(2 * (total[size:] - total[:-size]) > size, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def weigh(words: list[bytes], width: int) -> Counter:
+    return Counter(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
 def similarity(a: Counter, b: Counter) -> float:
     both = sum((a & b).values())
     return both / max(1, sum(a.values()) + sum(b.values()) - both)
 
 
+class BlockTable:
+    """Fingerprints by block value: for each block and value the items whose block is the value or a neighbour of it."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        octets = prints.view(np.uint8).reshape(-1, BLOCKS)
+        held = [np.nonzero(_NEAR[:, octets[:, b]]) for b in range(BLOCKS)]
+        keys = np.concatenate([b * 256 + value for b, (value, _) in enumerate(held)])
+        self.items = np.concatenate([item for _, item in held])
+        self.first = np.searchsorted(keys, np.arange(BLOCKS * 256 + 1))
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of a print, number of an item) of all that lie within RADIUS, in order."""
+        keys = (prints.view(np.uint8).reshape(-1, BLOCKS) + np.arange(BLOCKS) * 256).ravel()
+        lo = self.first[keys]
+        n = self.first[keys + 1] - lo
+        ends = np.cumsum(n)
+        place = np.arange(ends[-1]) + np.repeat(lo - ends + n, n)
+        met = np.repeat(np.arange(len(prints)), n.reshape(-1, BLOCKS).sum(axis=1)) * len(self.prints) + self.items[place]
+        which, item = np.divmod(np.unique(met), len(self.prints))
+        near = np.bitwise_count(prints[which] ^ self.prints[item]) <= RADIUS
+        return which[near], item[near]
+
+
 class ItemIndex:
-    """Items of a benchmark by shingle, with their fingerprints and weights."""
+    """Items of a benchmark by width and number of shingles; each such group has a block table."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = []
-        by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
+    def __init__(self, items: list[tuple]):
+        groups: dict[tuple[int, int], list] = {}
+        hashes: dict[int, list[np.ndarray]] = {}
         for item_id, text in items:
             words = split_words(text)
             if not words:
                 continue
             width = min(SHINGLE_WORDS, len(words))
             h = shingle_hashes(words, width)
-            by_width.setdefault(width, []).append((np.unique(h), len(self.items)))
-            self.items.append((item_id, width, len(h), int(window_fingerprints(h, len(h))[0]), self.weigh(words, width)))
-        self.tables = []
-        for width, rows in sorted(by_width.items()):
-            keys = np.concatenate([r[0] for r in rows])
-            owner = np.repeat([r[1] for r in rows], [len(r[0]) for r in rows])
-            order = np.argsort(keys, kind="stable")
+            hashes.setdefault(width, []).append(h)
+            groups.setdefault((width, len(h)), []).append((item_id, window_fingerprints(h, len(h))[0], weigh(words, width)))
+        self.widths = []
+        for width, rows in sorted(hashes.items()):
+            keys = np.unique(np.concatenate(rows))
             maybe = np.zeros(1 << 20, bool)
             maybe[keys >> np.uint64(44)] = True
-            self.tables.append((width, keys[order], owner[order], maybe))
-
-    @staticmethod
-    def weigh(words: list[bytes], width: int) -> Counter:
-        width = min(width, len(words))
-        return Counter(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+            sizes = [(size, held, BlockTable(np.array([x[1] for x in held], np.uint64))) for (w, size), held in sorted(groups.items(), key=lambda g: g[0]) if w == width]
+            self.widths.append((width, keys, maybe, sizes))
 
-    def find(self, text: str | None) -> list[tuple[int, float, int, int]]:
+    def find(self, text: str | None) -> list[tuple]:
         """(item id, similarity, first word, words) of the best window of each item that reaches SIMILARITY."""
-        words, out = split_words(text), []
-        for width, keys, owner, maybe in self.tables:
+        words, best = split_words(text), {}
+        for width, keys, maybe, sizes in self.widths:
             h = shingle_hashes(words, width)
             at = np.flatnonzero(maybe[h >> np.uint64(44)])
+            at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
             if not len(at):
                 continue
-            lo, hi = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
-            hits: dict[int, list[int]] = {}
-            for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
-                for k in owner[a:b].tolist():
-                    hits.setdefault(k, []).append(p)
-            for k, places in hits.items():
-                item_id, _, size, print_, weights = self.items[k]
-                best = None
-                for s in self._candidates(h, places, size, print_):
-                    got = similarity(self.weigh(words[s : s + size + width - 1], width), weights)
-                    if got >= SIMILARITY and (best is None or got > best[1]):
-                        best = (item_id, got, s, min(len(words) - s, size + width - 1))
-                if best:
-                    out.append(best)
-        return out
+            known = np.zeros(len(h) + 1, np.int64)
+            known[at + 1] = 1
+            known = np.cumsum(known)
+            for size, held, blocks in sizes:
+                n = min(size, len(h))
+                need = int(np.ceil(SIMILARITY * (n + size) / (1 + SIMILARITY) - 1e-9))
+                if len(at) < need:
+                    continue
+                for lo, hi in _runs(np.flatnonzero(known[n:] - known[:-n] >= need)):
+                    for s, k in zip(*blocks.within(window_fingerprints(h[lo : hi + n], n)), strict=True):
+                        self._verify(words, lo + int(s), n + width - 1, width, held[k], best, (width, size, int(k)))
+        return list(best.values())
 
     @staticmethod
-    def _candidates(h: np.ndarray, places: list[int], size: int, print_: int):
-        """First positions of windows that hold one of the places and lie within RADIUS of the item's fingerprint."""
-        runs: list[list[int]] = []
-        for p in places:
-            if runs and p - size < runs[-1][1]:
-                runs[-1][1] = p
-            else:
-                runs.append([p, p])
-        own = np.array([print_], np.uint64)
-        for first, last in runs:
-            lo = max(0, min(first - size + 1, len(h) - size))
-            prints = window_fingerprints(h[lo : last + size], size)
-            octets = prints.view(np.uint8).reshape(-1, 8)
-            met = _NEAR[octets, own.view(np.uint8)[None, :]].any(axis=1)
-            for s in np.flatnonzero(met & (np.bitwise_count(prints ^ own[0]) <= RADIUS)).tolist():
-                yield lo + s
+    def _verify(words, first, n_words, width, item, best, key) -> None:
+        got = similarity(weigh(words[first : first + n_words], width), item[2])
+        if got >= SIMILARITY and (key not in best or got > best[key][1]):
+            best[key] = (item[0], got, first, n_words)
+
+
+def _runs(starts: np.ndarray):
+    """First and last of each run of neighbouring windows, RUN at most."""
+    if len(starts):
+        for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+            for k in range(0, len(part), RUN):
+                yield int(part[k]), int(part[min(k + RUN, len(part)) - 1])
 
 
 def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """Lists of items of at most ITEM_BYTES of text each (one item at least)."""
+    """Lists of items of at most ITEM_BYTES of text each (one item at least); the driver holds one list at a time."""
     block, held = [], 0
     for r in benchmark.select(id_col, text_col).dropna().distinct().toLocalIterator():
         if block and held + len(r[1]) > ITEM_BYTES:
@@ -145,43 +168,64 @@ def _item_blocks(benchmark: DataFrame, id_col: str, text_col: str):
     yield block
 
 
+def _passes(benchmark: DataFrame, id_col: str, text_col: str):
+    """(index, whether it is the last) of each list of items."""
+    blocks = _item_blocks(benchmark, id_col, text_col)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        yield ItemIndex(block), following is None
+        block = following
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item with a window of similarity 0.8 or more: doc_id, item_id, similarity, first_word, n_words.
 
     The best window is told, the first of equals. Null and empty texts on either side have no leak; items with a null
-    id or text are not looked for; items of fewer than five words are one shingle. Repeated rows repeat their leaks.
+    id or text are not looked for; items of fewer than five words are one shingle. A text shorter than an item is one
+    window; a very long one is read whole, with fingerprints of a bounded number of windows at a time. Repeated rows
+    repeat their leaks; an empty table on either side gives no rows. Ids may be of any type; other columns aren't read.
     """
-    out = None
-    for items in _item_blocks(benchmark, item_id, item_text):
-        index = ItemIndex(items)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kinds = [rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, first_word long, n_words long"
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    of_item = to_arrow_type(benchmark.schema[item_id].dataType)
 
-        def run(batches, index=index):
+    def apply(index):
+        def run(batches):
             for batch in batches:
                 for part in steps(batch, "text"):
-                    found = [(d, *x) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for x in index.find(t)]
-                    cols = list(zip(*found)) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (part.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
-
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        kind = rows.schema["doc_id"].dataType.simpleString()
-        rows = rows.mapInArrow(run, f"doc_id {kind}, item_id long, similarity double, first_word long, n_words long")
-        out = rows if out is None else out.unionByName(rows)
+                    found = [(d, *x) for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for x in index.find(t)]
+                    types = (part.schema.field("doc_id").type, of_item, pa.float64(), pa.int64(), pa.int64())
+                    cols = list(zip(*found, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
+
+        return rows.mapInArrow(run, schema)
+
+    out = None
+    for index, last in _passes(benchmark, item_id, item_text):
+        part = apply(index) if last else written(apply(index), "leaks")  # as a table its index need not stay
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those whose text leaks an item (find_leaks); no shuffle."""
-    out = docs
-    for items in _item_blocks(benchmark, item_id, item_text):
-        index = ItemIndex(items)
 
-        def run(batches, index=index):
+    def apply(left, index):
+        def run(batches):
             for batch in batches:
                 for part in steps(batch, text_col):
                     yield part.filter(pa.array([not index.find(t) for t in part.column(text_col).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        return left.mapInArrow(run, docs.schema)
+
+    for index, last in _passes(benchmark, item_id, item_text):
+        docs = apply(docs, index) if last else written(apply(docs, index), "clean")
+    return docs
 
 
 def op6_decontaminate(spark, sf_dir):
