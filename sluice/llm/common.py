@@ -1,17 +1,15 @@
-"""Shared plumbing: Arrow batches cut by bytes, raw UTF-8 access, the shared folder, hash-ordered samples."""
+"""Shared plumbing: Arrow batches cut by bytes, raw UTF-8 access, sizes of shuffles, hash-ordered samples."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.sources.shared import fresh_path, remove_path, shared_folder, written  # noqa: F401
+
 #: Bytes of text that one Python step handles at once; a longer single text forms a step of its own.
 STEP_BYTES = 4 << 20
 
@@ -20,33 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        seen = spark.sparkContext.getCheckpointDir()
-        folder = seen or os.path.join(tempfile.gettempdir(), "sluice-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+def partitions_of(df: DataFrame, each: int) -> int:
+    """Partitions for a shuffle of df: the session's number, or more where the plan's estimate of bytes over each is more."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // each)))
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def broadcast_if_few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df of short rows, to be broadcast where a count shows that it has at most so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,14 +86,17 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
     return base.mapInArrow(run, schema)
 
 
-def sampled_texts(df: DataFrame, key: str, text_col: str, per_key: int, max_keys: int, seed: int) -> DataFrame:
-    """About per_key rows of each key, chosen by a hash threshold: no sort, no window, no group in one task.
+def sampled_texts(df: DataFrame, key: str, text_col: str, per_key: int, most: int, seed: int) -> DataFrame:
+    """(key, text): about per_key distinct texts of each key, chosen by a hash threshold: no sort, no window, no group in one task.
 
-    Keys beyond the max_keys most frequent ones are left out (ties by key).
+    Where the keys are so many that this exceeds most texts, each key has fewer, one text's share at least. Copies of a
+    text count once, so a large group of them is one row.
     """
-    keys = df.groupBy(key).count().orderBy(F.desc("count"), key).limit(max_keys).collect()
+    keys = [(r[0], r[1]) for r in df.groupBy(key).count().orderBy(key).collect()]  # one row a key
     if not keys:
-        return df.limit(0)
-    share = F.create_map(*[F.lit(x) for r in keys for x in (r[0], min(1.0, per_key / r["count"]))])
+        return df.select(key, text_col).limit(0)
+    each = max(1, min(per_key, most // len(keys)))
+    share = F.create_map(*[F.lit(x) for k, n in keys for x in (k, min(1.0, each / n))])
     spot = F.pmod(F.xxhash64(F.col(text_col), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    return df.filter(spot < F.coalesce(F.element_at(share, F.col(key)), F.lit(0.0)))
+    chosen = df.filter(spot < F.coalesce(F.element_at(share, F.col(key)), F.lit(0.0)))
+    return chosen.groupBy(key, F.xxhash64(text_col).alias("__h")).agg(F.min(text_col).alias(text_col)).select(key, text_col)

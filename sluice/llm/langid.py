@@ -21,9 +21,10 @@ from sluice.llm.common import append_columns, held_out, sampled_texts
 
 ORDER = 3
 PAD = b"\n" * ORDER
-#: Documents of each language that training reads, about; whole texts. Languages beyond MAX_LANGS are not learned.
-TRAIN_DOCS_PER_LANG = 250
-MAX_LANGS = 512
+#: Documents of each language that training reads, about, and of all: whole texts; where languages are many, each has fewer.
+TRAIN_DOCS_PER_LANG, TRAIN_DOCS = 250, 100_000
+#: Costs that the code lengths of a text look up at once, over all languages.
+LOOKUPS = 1 << 21
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -92,8 +93,14 @@ class PpmModel:
         return bits + 8.0 * open_
 
     def bits(self, text: bytes) -> np.ndarray:
-        """Code length of a whole text in each language."""
-        data = np.frombuffer(PAD + text, np.uint8)
+        """Code length of a whole text in each language, summed over steps of bounded size."""
+        data, total = np.frombuffer(PAD + text, np.uint8), np.zeros(len(self.langs))
+        step = max(1024, LOOKUPS // max(1, len(self.langs)))
+        for lo in range(0, len(text), step):
+            total += self._bits(data[lo : lo + step + ORDER])
+        return total
+
+    def _bits(self, data: np.ndarray) -> np.ndarray:
         pair = self.pair_no[(data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:]]
         row = self.row_no[pair[:-2] * self.width + pair[2:]]
         known = row >= 0
@@ -117,13 +124,13 @@ def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = TRAIN_DOCS_PER_LANG, seed: int = 42) -> PpmModel:
-    """Learn from a bounded sample: about docs_per_lang whole texts of each language, chosen by a hash of the text.
+    """Learn every language from a bounded sample: about docs_per_lang whole distinct texts of each, chosen by a hash of the text.
 
     Null texts and null languages are not learned from; an empty table gives a model that says `und`.
     """
     rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
     samples: dict[str, list[bytes]] = {}
-    for r in sampled_texts(rows, "lang", "text", docs_per_lang, MAX_LANGS, seed).collect():
+    for r in sampled_texts(rows, "lang", "text", docs_per_lang, TRAIN_DOCS, seed).collect():
         samples.setdefault(r["lang"], []).append(r["text"].encode())
     return PpmModel(samples)
 
@@ -131,8 +138,8 @@ def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str =
 def predict_language(df: DataFrame, model: PpmModel, text_col: str = "text") -> DataFrame:
     """Adds lang_pred (a learned language or `und`) and score (0 to 1) to every row; nothing is dropped.
 
-    Null text or one without a letter: `und`, 0. Columns of df named lang_pred or score are replaced; others stay.
-    Repeated rows get equal results.
+    Null text or one without a letter: `und`, 0. A very long text is coded whole, in steps of bounded size. Columns of
+    df named lang_pred or score are replaced; others stay. Repeated rows get equal results; an empty table stays empty.
     """
 
     def make(part):
