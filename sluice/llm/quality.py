@@ -2,7 +2,7 @@
 
 Indicators of n-grams in three views of a text: bytes (n = 3, hashed), words that repeat the word before (n-grams of
 one symbol, n = 1 to 8), words in capitals (likewise), lines that repeat the line before. Each indicator is scaled by the log ratio of its
-smoothed share in either class, then a linear L2-loss support vector machine is fitted by dual coordinate descent. A
+smoothed share in either class, then a linear support vector machine (hinge loss) is fitted by dual coordinate descent. A
 logistic curve fitted on held-back rows turns margins into scores.
 """
 
@@ -57,15 +57,17 @@ class NbSvm:
 
 
 def _descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, c: float, rounds: int, rng) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for min ½|w|² + c Σ max(0, 1 − y w·x)²; the bias is a constant feature."""
+    """Dual coordinate descent for min ½|w|² + c Σ max(0, 1 − y w·x); the bias is a constant feature.
+
+    Each dual variable lies between 0 and c; a step sets one of them to its best value with the others held.
+    """
     w, bias, alpha = np.zeros(N_FEATURES), 0.0, np.zeros(len(rows))
-    diagonal = 0.5 / c
-    norms = np.array([(v * v).sum() + 1.0 + diagonal for v in values])
+    norms = np.array([(v * v).sum() + 1.0 for v in values])
     for _ in range(rounds):
         largest = 0.0
         for i in rng.permutation(len(rows)):
-            g = y[i] * (w[rows[i]] @ values[i] + bias) - 1.0 + diagonal * alpha[i]
-            new = max(0.0, alpha[i] - g / norms[i])
+            g = y[i] * (w[rows[i]] @ values[i] + bias) - 1.0
+            new = min(c, max(0.0, alpha[i] - g / norms[i]))
             step = (new - alpha[i]) * y[i]
             if step:
                 largest = max(largest, abs(step))
@@ -122,16 +124,18 @@ def fit_nbsvm(texts: list[str | None], labels: list[int], c: float = 1.0, rounds
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, seed: int = 42) -> list:
     """At most limit (text, quality) rows in hash order of doc_id, from documents that are not held out.
 
-    Labels with a null id or quality are not used; of a document's repeated labels the largest counts.
+    Labels with a null id or quality are not used; of a document's repeated labels the largest counts, of rows with one id
+    the smallest text.
     """
     chosen = (labels.select("doc_id", "quality").dropna().filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(limit))
     small = [(r[0], r[1]) for r in chosen.collect()]  # at most limit pairs
     if not small:
         return []
-    sent = docs.sparkSession.createDataFrame(small, "doc_id long, quality int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sent), "doc_id").collect()
-    return sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows}, key=lambda r: (r[0], r[1] or ""))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sent = docs.sparkSession.createDataFrame(small, f"doc_id {kind}, quality int")
+    one = docs.select("doc_id", "text").join(F.broadcast(sent), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one row an id
+    return sorted(((r["doc_id"], r["text"], r["quality"]) for r in one.collect()), key=lambda r: r[0])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, seed: int = 42) -> NbSvm:
@@ -143,7 +147,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, see
 def score_quality(df: DataFrame, model: NbSvm, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Adds a score from 0 to 1 to every row, null and empty texts included; only the text is read.
 
-    A column of df named like score_col is replaced, others stay; repeated rows get equal scores.
+    A column of df named like score_col is replaced, others stay; repeated rows get equal scores. A very long text is read
+    whole; an empty table stays empty.
     """
 
     def make(part):
