@@ -87,17 +87,66 @@ def test_patterns_against_plain_regular_expressions():
         t = "".join(rng.choice("a1 .@-+(5") for _ in range(rng.randint(0, 30)))
         want = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
         assert [s for s in pii.base_spans(t) if s[1] == 0] == want
+
+    def plain(t):
+        """The contract word by word."""
+        out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = [int(c) for c in m[0] if c.isdigit()]
+            if 14 <= len(d) <= 19 and sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(d[::-1])) % 10 == 0:
+                out.append((m.start(), 2, m.end()))
+        out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= sum(c.isdigit() for c in m[0]) <= 15]
+        return ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+    seen = set()
+    for _ in range(20000):
+        t = "".join(rng.choice(["4111 1111 1111 1111", "+1 (555) 010-2345", "10.0.0.255", "a@b.co", "1", "2", "25", " ", " ", "-", ".", "x", "+", "(", "é", "@"]) for _ in range(rng.randint(0, 9)))
+        assert pii.joined(pii.base_spans(t)) == plain(t), t
+        seen |= {k for _, k, _ in pii.base_spans(t)}
+    assert seen == {0, 1, 2, 3}
     assert [pii.KINDS[k] for _, k, _ in pii.base_spans("a.b@c.de 1.2.3.4 x 4111 1111 1111 1111, +1 (555) 010-2345 y 1.2.3.999")] == ["email", "ip", "card", "phone"]
 
 
 def test_crf_adds_and_keeps(spark, docs):
     crf = pii.fit_crf()
-    rows = pii._parsed()
-    assert sum((p == s).all() for (_, s), p in zip(rows, crf.decode([w for w, _ in rows]))) >= len(rows) - 3
+    rows = pii.labelled_table(300, seed=7)  # sentences that training did not see
+    assert sum((p == s).all() for (_, s), p in zip(rows, crf.decode([w for w, _ in rows]))) >= 285
     (base, every), none, empty = pii.all_spans(["mail a@b.co or call (212) 555-0199 now", None, ""], crf)
     assert base == [(5, 0, 11)] and every == [(5, 0, 11), (20, 3, 34)] and none == empty == ([], [])
+    found = {t: [(pii.KINDS[k], t[s:e]) for s, k, e in pii.all_spans([t], crf)[0][1]] for t in ("karl at example dot com", "host 10[.]1[.]2[.]3 is down", "please call 415 555 2671 now", "phone: 020-7946-0958.", "card 4012.8888.8888.1881 ok")}
+    assert list(found.values()) == [[("email", "karl at example dot com")], [("ip", "10[.]1[.]2[.]3")], [("phone", "415 555 2671")], [("phone", "020-7946-0958")], [("card", "4012.8888.8888.1881")]]
+    for clean in ("in 1987 there were 15 cases and 3 dots", "isbn 978-3-16-148410-0 is a book", "look at this thing", "from 10:30 to 11:45 on 2020-05-17"):
+        assert pii.all_spans([clean], crf) == [([], [])]
     got = pii.find_personal_data(docs, crf=crf)
     assert got.count() == docs.count() and got.filter("doc_id = 101").first().base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.find_personal_data(docs.limit(0), crf=crf).count() == 0
+
+
+def test_crf_by_segments_equals_whole_texts(monkeypatch):
+    crf, rng = pii.fit_crf(), random.Random(5)
+    for _ in range(60):
+        words = [w for _ in range(4) for w in (*(rng.choice(WORDS) for _ in range(rng.randint(0, 12))), *rng.choice(pii.labelled_table(50, seed=9))[0])]
+        text = " ".join(words)
+        starts, ends, warm = pii._warm(text)
+        move = crf.scores()
+        best, back = None, []
+        for e in crf.emissions(words, cold=~warm):  # the definition: Viterbi over all words, cold ones outside
+            s = (move[0] if best is None else (best[:, None] + move)) + e
+            back.append(np.zeros(len(e), int) if best is None else s.argmax(axis=0))
+            best = s if best is None else s.max(axis=0)
+        want, state = [], int(best.argmax())
+        for row in back[::-1]:
+            want.append(state)
+            state = row[state]
+        got = np.zeros(len(words), int)
+        for first, _ in pii._segments(text):
+            at = int(np.searchsorted(starts, first[0]))
+            got[at : at + len(first)] = crf.decode([words[at : at + len(first)]])[0]
+        assert got.tolist() == want[::-1]
+    monkeypatch.setattr(pii, "PIECE", 7)
+    rows = [w for w, _ in pii.labelled_table(40, seed=11) if len(w) > 7]
+    assert all((crf._long(w) == p).all() for w, p in zip(rows, [crf.decode([w])[0] for w in rows]))
 
 
 def test_encoder_equals_library_and_shards_round_trip(spark, docs, tmp_path):
