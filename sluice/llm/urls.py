@@ -1,13 +1,12 @@
 """URL filters: host and path rules first, then gradient-boosted trees on lexical features; DataFrame operations only.
 
-The trees are fitted on the driver to a small labelled table (labelled_urls, made by a rule from two word lists) whose
-features come from the same expressions as those of the pages, and are then written out as one CASE expression.
+The trees are fitted on the driver to a small labelled table (labelled_urls, made by a rule: forms of ordinary sites and
+of link farms that overlap, so that no single feature decides) whose features come from the same expressions as those of
+the pages, and are then written out as one sum of CASE expressions.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +15,15 @@ from sluice.llm.common import table
 
 #: (verdict, rule); a rule is a host, a slash and the rest of a path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-TREES, DEPTH, RATE, LEAST = 40, 3, 0.3, 4
-FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_ratio", "host_digits", "host_hyphens", "host_labels", "host_entropy", "parameters", "suffix_rate")
+#: Boosting: trees, their depth, the learning rate, and the rows that a leaf holds at least.
+TREES, DEPTH, RATE, LEAST = 48, 3, 0.25, 20
+FEATURES = (
+    "url_length", "host_length", "path_length", "query_length", "depth", "digit_ratio", "host_digits", "digit_run", "host_hyphens", "host_labels",
+    "longest_label", "host_entropy", "path_entropy", "vowel_share", "parameters", "escapes", "stems", "suffix_rate",
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Stems that sites which sell clicks put into their names.
+STEMS = "casino|poker|bet|slot|lotto|jackpot|pill|viagra|pharm|xxx|porn|adult|dating|loan|payday|credit|cheap|discount|deal|bonus|promo|free|win|prize|gift|click|traffic|backlink|seo|rolex|replica|crypto|coin|hack|crack|torrent|keygen"
 
 
 def host_of(url: Column) -> Column:
@@ -45,37 +50,99 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -1)
 
 
+def _entropy(text: Column) -> Column:
+    """Bits a character of the text's own distribution of characters; empty: 0."""
+    share = lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text)
+    distinct = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    return F.when(F.length(text) > 0, F.aggregate(distinct, F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))).otherwise(0.0)
+
+
+def _longest(parts: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(parts, F.length)), F.lit(0))
+
+
 def with_features(df: DataFrame, url: str, host: str, path: str, suffixes: dict[str, float], usual: float) -> DataFrame:
     """Adds the lexical features under a prefix; a null url counts as empty."""
     u, h, p = F.coalesce(F.col(url), F.lit("")), F.col(host), F.col(path)
-    letters = F.split(h, "")
-    share = lambda c: (F.length(h) - F.length(F.replace(h, c, F.lit("")))) / F.length(h)
-    entropy = F.when(F.length(h) > 0, F.aggregate(F.array_distinct(F.filter(letters, lambda c: c != "")), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))).otherwise(0.0)
+    query = F.regexp_extract(u, r"\?([^#]*)", 1)
     rate = F.lit(usual)
     if suffixes:
         rate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in sorted(suffixes.items()) for x in pair]), suffix_of(h)), rate)
-    digits = F.regexp_count(u, F.lit("[0-9]"))
-    values = (F.length(u), F.length(h), F.length(p), F.regexp_count(p, F.lit("/[^/]")), digits / F.greatest(F.length(u), F.lit(1)), F.regexp_count(h, F.lit("[0-9]")),
-              F.regexp_count(h, F.lit("-")), F.size(F.split(h, r"\.")), entropy, F.regexp_count(u, F.lit("[?&][^=&#]+=")), rate)
+    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    values = (
+        F.length(u), F.length(h), F.length(p), F.length(query), count(p, "/[^/]"), count(u, "[0-9]") / F.greatest(F.length(u), F.lit(1)), count(h, "[0-9]"),
+        _longest(F.regexp_extract_all(u, F.lit("[0-9]+"), F.lit(0))), count(h, "-"), F.size(F.split(h, r"\.")), _longest(F.split(h, r"\.")), _entropy(h), _entropy(p),
+        count(h, "[aeiouy]") / F.greatest(count(h, "[a-z]"), F.lit(1)), count(query, "(^|&)[^&]"), count(u, "%[0-9A-Fa-f]{2}"), count(F.lower(u), STEMS), rate,
+    )
     return df.withColumns({f"f__{n}": v.cast("double") for n, v in zip(FEATURES, values, strict=True)})
 
 
-# Words of hosts in the labelled table.
-_BAD = "casino cheap win pills free bets spam farm adult x ads track loan fast click bonus hot deals lucky slots".split()
-_GOOD = "ththre tionsh ander herald museum garden thering library tionble kitchen science travel history school weather market thermal nature".split()
+# Parts of the labelled URLs.
+_TOPICS = "news museum garden library science travel history school weather market nature music recipe health energy forest river county harbor village film theater railway archive gallery journal tribune gazette herald observer".split()
+_PLACES = "york london paris berlin madrid oslo boston vienna lisbon dublin geneva kyoto delhi quebec ohio texas norfolk leeds porto turin".split()
+_PATHS = "about article story blog post archive category topic guide research people events media docs help en product review section".split()
+_TEASERS = "casino poker bet slots jackpot pills pharmacy xxx adult loans payday cheap discount deals bonus promo free win prize click traffic crypto replica".split()
+_FILLERS = "best top online now today super mega big fast easy new hot vip pro max zone shop store club world land 24 365 777 888".split()
+_KEYS_GOOD, _KEYS_BAD = "id page q lang ref utm_source sort year".split(), "aff affid click_id sid subid src campaign ref id cid tok redirect".split()
+#: Shares of the last labels of hosts, for ordinary sites and for link farms.
+_SUFFIX = (
+    (("com", 38), ("org", 16), ("net", 8), ("edu", 6), ("gov", 3), ("uk", 7), ("de", 6), ("fr", 4), ("es", 3), ("info", 3), ("io", 3), ("xyz", 1), ("biz", 1), ("top", 1)),
+    (("com", 30), ("net", 10), ("org", 3), ("info", 10), ("biz", 12), ("xyz", 10), ("top", 9), ("click", 6), ("online", 5), ("de", 2), ("uk", 2), ("io", 1)),
+)
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 for block): every pair of the bad words as a hyphened host, good words alone or in pairs without a hyphen."""
-    fronts, suffixes, langs = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es")
-    tails = ("", "/", ".html", "?page=2&ref=x", "#top", "?utm_source=feed")
+def labelled_urls(n: int = 4000, seed: int = 42) -> list[tuple[str, int]]:
+    """(url, 1 for block), half of either kind, drawn from forms of ordinary sites and of link farms.
+
+    The forms overlap: both kinds have hyphens, digits, parameters, random paths and most suffixes, and ordinary names
+    hold stems too (a topic with "free" or "win" in it), only in other shares.
+    """
+    rng = np.random.default_rng(seed)
+    pick = lambda words: str(words[int(rng.integers(len(words)))])
+    chance = lambda p: bool(rng.random() < p)
+    letters = lambda k, alphabet="abcdefghijklmnopqrstuvwxyz0123456789": "".join(alphabet[i] for i in rng.integers(len(alphabet), size=k))
+
+    def syllables(k):
+        return "".join(letters(1, "bcdfghklmnprstvw") + letters(1, "aeiou") + (letters(1, "lnrst") if chance(0.3) else "") for _ in range(k))
+
+    def suffix(kind):
+        names, weights = zip(*_SUFFIX[kind], strict=True)
+        return str(rng.choice(names, p=np.array(weights) / sum(weights)))
+
+    def good_host():
+        words = [pick(_TOPICS) if chance(0.5) else syllables(int(rng.integers(1, 4))) for _ in range(int(rng.choice([1, 1, 2, 2, 3])))]
+        words = [pick(_PLACES), *words][: len(words)] if chance(0.3) else words
+        words = ["the", *words] if chance(0.1) else words
+        if chance(0.06):
+            words.append(pick(("winter", "freedom", "winery", "betony", "dealers", "coinage", "discounting")))
+        name = ("-" if chance(0.3) else "").join(words) + (str(int(rng.integers(1, 2030))) if chance(0.08) else "")
+        return pick(("", "", "www.", "www.", "blog.", "en.", "m.", "news.")) + name
+
+    def bad_host():
+        form = rng.random()
+        if form < 0.55:
+            words = [pick(_TEASERS) if chance(0.6) else pick(_FILLERS) for _ in range(int(rng.integers(2, 5)))]
+            name = ("-" if chance(0.5) else "").join(words) + (str(int(rng.integers(1, 9999))) if chance(0.3) else "")
+        elif form < 0.8:
+            name = letters(int(rng.integers(8, 22)))
+        else:
+            name = "-".join([syllables(int(rng.integers(1, 3))) for _ in range(int(rng.integers(2, 6)))]) + (str(int(rng.integers(1, 999))) if chance(0.4) else "")
+        front = letters(int(rng.integers(2, 7))) + "." if chance(0.25) else pick(("", "", "www.", "m.", "go."))
+        return front + name
+
     out = []
-    bad = [f"{a}-{b}" for a, b in itertools.permutations(_BAD, 2)][::3]
-    good = [*_GOOD, *(a + b for a, b in list(itertools.permutations(_GOOD, 2))[::5]), *(f"{a}{k}" for k, a in enumerate(_GOOD))]
-    for label, hosts in ((1, bad), (0, good), (0, good[::-1])):
-        for i, host in enumerate(hosts):
-            n = (i * 7919 + 104729 * label) % 1000
-            out.append((f"http{'s' * (i % 2)}://{fronts[i % 4]}{host}.example.{suffixes[i % 3]}/{langs[(i // 2) % 4]}/{n}{tails[(i // 3) % 6]}", label))
+    for i in range(n):
+        label = i % 2
+        host = f"{bad_host() if label else good_host()}.{suffix(label)}"
+        depth = int(rng.choice([0, 1, 2, 3, 4], p=[0.3, 0.35, 0.2, 0.1, 0.05] if label else [0.15, 0.25, 0.3, 0.2, 0.1]))
+        strange = 0.45 if label else 0.08
+        parts = [letters(int(rng.integers(4, 24))) if chance(strange) else f"{rng.integers(1, 3000)}" if chance(0.2) else "-".join(pick(_PATHS) if chance(0.5) else syllables(2) for _ in range(int(rng.integers(1, 5)))) for _ in range(depth)]
+        keys = int(rng.choice([0, 1, 2, 3, 5], p=[0.4, 0.2, 0.15, 0.15, 0.1] if label else [0.75, 0.14, 0.07, 0.03, 0.01]))
+        query = "&".join(f"{pick(_KEYS_BAD if label else _KEYS_GOOD)}={letters(int(rng.integers(3, 30))) if chance(strange) else rng.integers(1, 500)}" for _ in range(keys))
+        if query and chance(0.3 if label else 0.05):
+            query += "%3A%2F%2F" + syllables(3)
+        tail = "" if not parts else pick(("", "/", ".html", ".php", "#top"))
+        out.append((f"http{'s' * chance(0.6 if label else 0.85)}://{host}{'/' if parts or chance(0.5) else ''}{'/'.join(parts)}{tail if not query else ''}{'?' + query if query else ''}", label))
     return out
 
 
@@ -97,6 +164,16 @@ class BoostedTrees:
             z += np.array([cls._value(tree, row) for row in x])
         return model
 
+    def uses(self) -> dict[str, int]:
+        """Splits by feature."""
+        out, left = {}, list(self.trees)
+        while left:
+            tree = left.pop()
+            if not isinstance(tree, float):
+                out[FEATURES[tree[0]]] = out.get(FEATURES[tree[0]], 0) + 1
+                left += tree[2:]
+        return out
+
     @classmethod
     def _grow(cls, x, g, h, depth):
         gain = lambda a, b: a * a / (b + 1.0)
@@ -157,8 +234,9 @@ def fit_url_model(spark, labelled: list[tuple[str, int]] | None = None) -> UrlMo
 def judge_urls(pages: DataFrame, model: UrlModel, url_col: str = "url", rules=RULES) -> DataFrame:
     """Adds host, path, rule, verdict and score (the trees' probability of block) to every row; nothing is dropped.
 
-    A null url or one without :// has an empty host and path, fits no rule, and is judged by the trees like any text.
-    Columns of pages with these names are replaced, others stay; repeated rows get equal results.
+    A null url or one without :// has an empty host and path, fits no rule, and is judged by the trees like any text; so
+    is a very long one, read whole. Columns of pages with these names are replaced, others stay; repeated rows get equal
+    results, and an empty table stays empty.
     """
     out = pages.withColumn("__url", F.col(url_col)).withColumn("host", host_of(F.col("__url"))).withColumn("path", path_of(F.col("__url")))
     out = with_features(out, "__url", "host", "path", model.suffixes, model.usual)
