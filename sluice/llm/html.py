@@ -3,7 +3,8 @@
 A page is cut into leaf blocks: the text between two block-level tags, with its path of open elements. A bidirectional
 LSTM (numpy) reads the sequence of a page's blocks, each as a vector of its hashed tag path (names and words of class,
 id and role), its hashed words and a few counts, and labels every block as main text or not, so each decision uses
-the whole page. It is trained, by back-propagation through time and Adam steps, on pages made by a rule (practice_page).
+the whole page. It is trained, by back-propagation through time and Adam steps, on pages made by a rule (practice_page)
+from public conventions of markup: elements, and words of class, id and role that many sites use.
 """
 
 from __future__ import annotations
@@ -18,13 +19,17 @@ from pyspark.sql import types as T
 
 from sluice.llm.common import append_columns, table
 
-PATH_DIM, WORD_DIM, COUNTS, HIDDEN = 128, 16, 6, 16
+PATH_DIM, WORD_DIM, COUNTS, HIDDEN = 256, 32, 7, 16
 DIM = PATH_DIM + WORD_DIM + COUNTS
-PRACTICE_PAGES, ROUNDS, SEED = 320, 14, 42
-# Element names.
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe object svg math canvas textarea select".split())
+PRACTICE_PAGES, ROUNDS, SEED = 500, 14, 42
+#: Blocks whose vectors are held at once; a page with more is read in parts that hand on their state.
+CHUNK = 4096
+# Element names. Elements of no list are inline, as unknown ones are in browsers.
+_BLOCK = frozenset("""address article aside audio blockquote body button caption canvas center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form
+    frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe input legend li link main menu meta nav noscript ol optgroup option p pre search section select
+    summary table tbody td template textarea tfoot th thead title tr ul video""".split())
+_VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
+_RAW = frozenset(["script", "style"])
 _CLOSED_BY = {"p": frozenset("p div ul ol dl table section article aside header footer nav form h1 h2 h3 h4 h5 h6 blockquote pre figure main hr address".split()),
               "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*(?:>|\Z)", re.S)
@@ -65,11 +70,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue  # a comment or declaration joins what stands around it
         ends = m[1] or m[4]
         if name in _RAW and not ends:
-            close()
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name in _INLINE:
+        if name not in _BLOCK:
             if name == "a":
                 anchors = max(0, anchors + (-1 if ends else 1))
             elif name in ("br", "wbr", "img"):
@@ -95,14 +99,14 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     """(blocks, DIM): hashed tag path, hashed words, counts."""
     x = np.zeros((len(blocks), DIM), np.float32)
     for i, b in enumerate(blocks):
-        for depth, element in enumerate(b.path[-8:]):
+        for element in b.path:
             for mark in element.split("."):
                 x[i, crc32(mark.encode()) % PATH_DIM] = 1.0
         if b.path:
             x[i, crc32(b"leaf " + b.path[-1].split(".", 1)[0].encode()) % PATH_DIM] = 1.0
         words = b.text.lower().encode().split()
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(np.fromiter(map(crc32, words), np.uint32, len(words)) % WORD_DIM, minlength=WORD_DIM) / (8.0 + len(words))
-        x[i, -COUNTS:] = (min(1.0, np.log1p(len(b.text)) / 8), min(1.0, b.linked / len(b.text)), min(1.0, len(words) / 50), b.text[-1] in ".!?", "©" in b.text, 1.0)
+        x[i, -COUNTS:] = (min(1.0, np.log1p(len(b.text)) / 8), min(1.0, b.linked / len(b.text)), min(1.0, len(words) / 50), b.text[-1] in ".!?", "©" in b.text, min(1.0, len(b.path) / 16), 1.0)
     return x
 
 
@@ -121,10 +125,11 @@ class BlockLabeller:
             self.w["c" + d][HIDDEN : 2 * HIDDEN] = 1.0  # forget gates start open
         self.w |= {"o": draw(2 * HIDDEN, 1), "q": np.zeros(1, np.float32)}
 
-    def _run(self, x, mask, d, keep):
-        """States of one direction over x (pages, blocks, DIM); past a page's end the state stands still."""
+    def _run(self, x, mask, d, keep=False, state=None):
+        """States of one direction over x (pages, blocks, DIM), tape and last state; past a page's end the state stands still."""
         n, t_max, _ = x.shape
-        pre, h, c, out, tape = x @ self.w["x" + d] + self.w["c" + d], np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.zeros((n, t_max, HIDDEN), np.float32), []
+        pre, out, tape = x @ self.w["x" + d] + self.w["c" + d], np.zeros((n, t_max, HIDDEN), np.float32), []
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         for t in range(t_max) if d == "f" else range(t_max - 1, -1, -1):
             z = pre[:, t] + h @ self.w["h" + d]
             i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
@@ -135,12 +140,26 @@ class BlockLabeller:
                 tape.append((t, h, c, i, f, o, g, tc, live))
             h, c = np.where(live, o * tc, h), np.where(live, c2, c)
             out[:, t] = h
-        return out, tape
+        return out, tape, (h, c)
+
+    def _out(self, both):
+        return _sigmoid((both @ self.w["o"])[..., 0] + self.w["q"])
 
     def forward(self, x, mask, keep=False):
-        (a, ta), (b, tb) = self._run(x, mask, "f", keep), self._run(x, mask, "b", keep)
+        (a, ta, _), (b, tb, _) = self._run(x, mask, "f", keep), self._run(x, mask, "b", keep)
         both = np.concatenate([a, b], axis=2)
-        return _sigmoid((both @ self.w["o"])[..., 0] + self.w["q"]), both, ta, tb
+        return self._out(both), both, ta, tb
+
+    def long_page(self, blocks: list[Block]) -> np.ndarray:
+        """The outputs of a page of any length, with the vectors of CHUNK blocks at a time."""
+        parts, both = [blocks[k : k + CHUNK] for k in range(0, len(blocks), CHUNK)], []
+        for d, order in (("f", 1), ("b", -1)):
+            state, got = None, []
+            for part in parts[::order]:
+                states, _, state = self._run(vectors(part)[None], np.ones((1, len(part)), bool), d, state=state)
+                got.append(states[0])
+            both.append(np.concatenate(got[::order]))
+        return self._out(np.concatenate(both, axis=1))
 
     def gradients(self, x, mask, y):
         p, both, ta, tb = self.forward(x, mask, True)
@@ -177,12 +196,15 @@ class BlockLabeller:
                     self.w[k] = (self.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def label(self, pages: list[list[Block]], most: int = 4096) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """A boolean per block of each page; pages of like length share a batch of bounded size."""
         out: list = [np.zeros(0, bool)] * len(pages)
         group: list[int] = []
         for i in [*sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i])), None]:
-            if group and (i is None or (len(group) + 1) * len(pages[i]) > most):
+            if i is not None and len(pages[i]) > CHUNK:
+                out[i] = self.long_page(pages[i]) >= 0.5
+                continue
+            if group and (i is None or (len(group) + 1) * len(pages[i]) > CHUNK):
                 x, mask = _padded([vectors(pages[k]) for k in group])
                 p = self.forward(x, mask)[0]
                 for r, k in enumerate(group):
@@ -200,104 +222,143 @@ def _padded(rows: list[np.ndarray]):
     return x, mask
 
 
-# Parts of the practice pages.
-_SYLLABLES = "the an er on re is of to ka mo li ter est ing que en la eau tion ver sch ung ado cion y".split()
-_MAIN_WRAPS = ("article", "article", "article", 'article class="post"', "main", 'div class="content"', 'div id="main-content"', 'div class="entry-content"', 'section class="story"', 'div class="article-body"', "div", "")
+# Parts of the practice pages. Frequent words of four languages, words of buttons and notices, and markup.
+_COMMON = "the of and to in is that for was on with as it are by this from at der die das und ist von mit den auf le la les et est que pour dans une el los y en un por con del".split()
+_BOILER_WORDS = "home menu login register subscribe newsletter cookie cookies accept privacy policy terms copyright rights reserved contact share follow search reply comments says posted related popular sponsored advertisement buy now sale click read more next previous archive tags sign up free trial".split()
+_NEUTRAL = ("div", 'div class="container"', 'div class="row"', 'div id="wrapper"', 'div class="inner"', 'div class="col-md-8"', 'div class="grid layout"', "section", 'div id="page"', 'div class="site"', "center", 'div class="block-2"')
+_MAIN_WRAPS = (
+    "article", 'article class="post"', 'article class="hentry" id="post-12"', "main", 'main role="main"', 'div class="content"', 'div id="content"', 'div class="entry-content"', 'div class="post-body"',
+    'div class="article-body"', 'section class="story"', 'div class="text"', 'div id="main-content" class="body"', 'div role="article"', 'div class="markdown-body"', "div", "section", "",
+)
 _BOILER = (
-    ("nav", "links"), ('ul class="menu"', "links"), ('div class="nav"', "links"), ('div class="breadcrumb"', "links"), ("header", "short"), ('div id="header"', "short"), ("footer", "foot"), ('div class="footer"', "foot"), ('div id="footer"', "foot"),
-    ("aside", "prose"), ('div class="sidebar"', "prose"), ('div id="sidebar"', "links"), ('div class="ad"', "bare"), ('div class="ad"', "prose"), ('div class="advert banner"', "bare"), ('div class="ads"', "bare"), ('div class="sponsored"', "prose"), ('div class="promo"', "prose"),
-    ('div class="cookie-notice"', "bare"), ('div class="notice"', "prose"), ('div class="popup newsletter"', "form"), ("form", "form"), ('form class="login"', "form"), ('form class="search"', "form"),
-    ('section class="comments"', "comments"), ('div id="comments"', "comments"), ('ul class="comment-list"', "comments"), ('div class="comments"', "prose"), ('div class="related"', "links"), ('div class="share social"', "links"),
+    ("links", ("nav", 'nav class="navbar"', 'ul class="menu"', 'div class="nav"', 'div id="menu"', 'div role="navigation"', 'div class="breadcrumbs"', 'div class="pagination"', 'ul class="tags"', 'div class="toolbar"')),
+    ("short", ("header", 'header class="site-header"', 'div id="header"', 'div class="masthead"', 'div class="banner"', 'div role="banner"', 'div class="logo"')),
+    ("foot", ("footer", 'footer class="site-footer"', 'div id="footer"', 'div class="copyright"', 'div role="contentinfo"', 'div class="legal"')),
+    ("prose", ("aside", 'aside class="widget"', 'div class="sidebar"', 'div id="sidebar"', 'div role="complementary"', 'div class="author-bio"', 'div class="teaser"')),
+    ("ad", ('div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div id="ad-top"', 'div class="sponsored"', 'div class="promo"', 'aside class="ad banner"', 'div class="adsbox"')),
+    ("prose", ('div class="cookie-notice"', 'div class="notice"', 'div id="cookie-banner"', 'div role="alert"', 'div class="popup modal"', 'div class="consent"', 'div class="disclaimer"', "noscript", "dialog")),
+    ("form", ("form", 'form class="login"', 'form role="search"', 'div class="newsletter signup"', 'form id="subscribe"', "fieldset")),
+    ("comments", ('section class="comments"', 'div id="comments"', 'ol class="comment-list"', 'div class="discussion"', 'div class="reviews comment"', 'section id="respond"', 'ul class="comments"')),
+    ("links", ('div class="related"', 'div class="share social"', 'section class="recommended"', 'div class="more-links"', 'ul class="share"')),
 )
+#: Which of them also stand inside a main part: adverts, forms, comments, related links and sharing.
+_INSIDE = (4, 6, 7, 8)
 
 
 def practice_page(rng: np.random.Generator) -> tuple[str, list[int]]:
     """(html, labels of its blocks), made by a rule: a main part of prose among menus, adverts, notices and comments."""
     parts: list[str] = []
     labels: list[int] = []
+    chance = lambda p: bool(rng.random() < p)
+    pick = lambda options: options[int(rng.integers(len(options)))]
 
-    def phrase(n):
-        return " ".join("".join(rng.choice(_SYLLABLES, rng.integers(1, 4))) for _ in range(n)).capitalize()
+    def word():
+        return "".join(pick("bcdfghjklmnprstvwz") + pick("aeiou") + (pick("nrslt") if chance(0.3) else "") for _ in range(int(rng.integers(1, 4))))
 
-    def prose():
-        return " ".join(phrase(int(rng.integers(1, 16))) + "." for _ in range(int(rng.choice([1, 1, 2, 4, 7]))))
+    def phrase(n, boiler=0.0):
+        return " ".join(pick(_BOILER_WORDS) if chance(boiler) else pick(_COMMON) if chance(0.35) else word() for _ in range(n)).capitalize()
+
+    def prose(boiler=0.0):
+        if chance(0.06):  # a text of one word, again and again
+            return " ".join([word()] * int(rng.integers(2, 60)))
+        return " ".join(phrase(int(rng.integers(1, 18)), boiler) + pick(".....!?") for _ in range(int(rng.choice([1, 1, 2, 4, 7]))))
 
     def add(piece, label):
         parts.append(piece)
         labels.append(label)
 
-    def boiler(kind):
-        tag, style = _BOILER[kind]
-        name = tag.split()[0]
+    def opened(tag):
         parts.append(f"<{tag}>")
-        if style == "bare":
-            add(prose(), 0)
-        elif style == "links":
-            wrap = ("li",) if name == "ul" else ("ul", "li")
-            parts.extend(f"<{w}>" for w in wrap[:-1])
-            for _ in range(int(rng.integers(2, 8))):
-                add(f'<li><a href="/{rng.integers(99)}">{phrase(int(rng.integers(1, 3)))}</a></li>', 0)
-            parts.extend(f"</{w}>" for w in wrap[:-1])
+        return f"</{tag.split()[0]}>"
+
+    def boiler(kind):
+        style, tags = _BOILER[kind]
+        tag = pick(tags)
+        end, listed = opened(tag), tag.split()[0] in ("ul", "ol")
+        if style == "links":
+            inner = "" if listed else opened(pick(("ul", "ul", "ol", "div")))
+            item = "div" if inner == "</div>" else "li"
+            for _ in range(int(rng.integers(1, 8))):
+                add(f'<{item}><a href="/{rng.integers(99)}">{phrase(int(rng.integers(1, 6)), 0.4)}</a></{item}>', 0)
+            parts.append(inner)
         elif style == "foot":
-            add(("<p>" if rng.random() < 0.3 else "") + f"&copy; {phrase(1)} &middot; " + prose(), 0)
+            add(pick(("<p>", "", "<div>")) + pick(("&copy; ", "(c) ", "© ")) + phrase(int(rng.integers(1, 5)), 0.5) + pick((" | ", " - ", " ")) + (prose(0.3) if chance(0.6) else ""), 0)
         elif style == "short":
-            add(f"<{'h1' if rng.random() < 0.4 else 'div'}>" + phrase(int(rng.integers(1, 5))), 0)
+            add(pick(("<h1>", "<div>", "<h2>", "<p>", "")) + phrase(int(rng.integers(1, 7)), 0.3), 0)
         elif style == "form":
-            add(f"<p>{prose()}</p>", 0)
-            add(f"<label>{phrase(2)}</label> <input name=q> <div>{phrase(1)}</div>", 0)
-            labels.append(0)
+            if chance(0.6):
+                add(f"<p>{prose(0.4)}</p>", 0)
+            add(f"<label>{phrase(2, 0.6)}</label>", 0)
+            parts.append("<input name=q>")
+            add(pick(("<button>", "<div>")) + phrase(int(rng.integers(1, 3)), 0.8), 0)
         elif style == "comments":
-            add(f"<h3>{phrase(2)}</h3>", 0)
-            inner = "li" if name == "ul" else "div class=\"comment\""
-            for _ in range(int(rng.integers(1, 5))):
-                add(f"<{inner}><p>{prose()}</p></{inner.split()[0]}>", 0)
+            if chance(0.6):
+                add(f"<h3>{phrase(2, 0.6)}</h3>", 0)
+            for _ in range(int(rng.integers(1, 6))):
+                inner = opened("li" if listed else pick(('div class="comment"', 'div class="reply"', "div", "article", 'p class="text"')))
+                add(f"{'<p>' if inner not in ('</p>',) and chance(0.7) else ''}{prose(0.05)}", 0)
+                parts.append(inner)
+        elif style == "ad" and chance(0.5):
+            add(prose(0.3), 0)
         else:
-            if rng.random() < 0.4:
-                add(f"<h3>{phrase(2)}</h3>", 0)
+            if chance(0.4):
+                add(f"<h3>{phrase(2, 0.3)}</h3>", 0)
             for _ in range(int(rng.integers(1, 4))):
-                add(f"<p>{prose()}</p>", 0)
-        parts.append(f"</{name}>")
+                add(f"<p>{prose(0.15)}</p>", 0)
+        parts.append(end)
 
     def main():
-        wrap = _MAIN_WRAPS[int(rng.integers(len(_MAIN_WRAPS)))]
-        inner = rng.random() < 0.2
-        parts.append((f"<{wrap}>" if wrap else "") + ('<div class="body">' if inner else ""))
-        if rng.random() < 0.8:
+        wrap = pick(_MAIN_WRAPS)
+        ends = [opened(wrap)] if wrap else []
+        if chance(0.2):
+            ends.append(opened(pick(("div", 'div class="body"', "section"))))
+        if chance(0.85):
             add(f"<h1>{phrase(int(rng.integers(1, 14)))}</h1>", 1)
-        for _ in range(int(rng.choice([1, 2, 3, 6, 10, 20]))):
+        for _ in range(int(rng.choice([1, 1, 2, 3, 6, 10, 20]))):
             k = rng.random()
-            if k < 0.72:
-                add(f"<p>{prose()}" + ("</p>" if rng.random() < 0.85 else ""), 1)
-            elif k < 0.8:
-                add(f"<p><b>{prose()}<br>", 1)
-            elif k < 0.86:
-                add(f"<h2>{phrase(int(rng.integers(1, 6)))}</h2>", 1)
-            elif k < 0.9:
+            if k < 0.6:
+                add(f"<p>{prose()}" + ("</p>" if chance(0.8) else ""), 1)
+            elif k < 0.66:
+                add(f"<{pick(('p', 'div'))}><{pick(('b', 'em', 'strong', 'i'))}>{phrase(3)}</i> {prose()}", 1)
+                if parts[-1].startswith("<div"):
+                    parts.append("</div>")
+            elif k < 0.74:
+                add(f"<h{rng.integers(2, 5)}>{phrase(int(rng.integers(1, 8)))}</h2>", 1)
+                parts[-1] = parts[-1].replace("</h2>", f"</{parts[-1][1:3]}>")
+            elif k < 0.78:
                 add(f"<blockquote>{prose()}</blockquote>", 1)
-            elif k < 0.95:
-                parts.append("<ul>")
-                for _ in range(int(rng.integers(1, 5))):
-                    add(f"<li>{phrase(int(rng.integers(2, 9)))}</li>", 1)
-                parts.append("</ul>")
-            elif k < 0.97:
+            elif k < 0.84:
+                listed = opened(pick(("ul", "ol")))
+                for _ in range(int(rng.integers(1, 6))):
+                    add(f"<li>{phrase(int(rng.integers(2, 12)))}</li>", 1)
+                parts.append(listed)
+            elif k < 0.87:
                 add(f"<table><tr><td>{phrase(2)}</td>", 1)
                 add(f"<td>{phrase(3)}</td></tr></table>", 1)
+            elif k < 0.9:
+                add(f"<figure><img src=x><figcaption>{phrase(6)}</figcaption></figure>", 1)
+            elif k < 0.92:
+                add(f"<pre>{phrase(5)}</pre>", 1)
             else:
-                boiler(int(rng.choice([12, 13, 14, 16, 20, 29])))  # an advert, a form or links inside the main part
-        parts.append(("</div>" if inner else "") + (f"</{wrap.split()[0]}>" if wrap else ""))
-
-    if rng.random() < 0.9:
-        parts.append("<!DOCTYPE html><html><head>")
-        add(f"<title>{phrase(4)}</title>", 0)
-        parts.append('<style>p{margin:0}</style><script>var t="</p>";</script></head><body>')
-    kinds = rng.integers(len(_BOILER), size=int(rng.integers(1, 7)))
+                boiler(pick(_INSIDE))
+        parts.extend(ends[::-1])
+
+    parts.append("<!DOCTYPE html><html>" if chance(0.8) else "")
+    if chance(0.85):
+        parts.append("<head>")
+        add(f"<title>{phrase(int(rng.integers(1, 9)))}</title>", 0)
+        parts.append(pick(("", "<meta charset=utf-8>", "<style>.a{color:red}</style>")) + "</head><body>")
+    outer = [opened(pick(_NEUTRAL)) for _ in range(int(rng.integers(0, 4)))]
+    kinds = rng.integers(len(_BOILER), size=int(rng.integers(1, 8)))
     before = int(rng.integers(0, len(kinds) + 1))
     for k in kinds[:before]:
         boiler(int(k))
+    nested = [opened(pick(_NEUTRAL)) for _ in range(int(rng.integers(0, 3)))]
     main()
+    parts.extend(nested[::-1])
     for k in kinds[before:]:
         boiler(int(k))
-    return "".join(parts) + "</body></html>", labels
+    return "".join(parts) + "".join(outer[::-1]) + "</body></html>", labels
 
 
 def fit_labeller(pages: int = PRACTICE_PAGES, rounds: int = ROUNDS, seed: int = SEED) -> BlockLabeller:
@@ -313,8 +374,10 @@ def fit_labeller(pages: int = PRACTICE_PAGES, rounds: int = ROUNDS, seed: int =
 def extract_main_text(df: DataFrame, html_col: str = "html", labeller: BlockLabeller | None = None) -> DataFrame:
     """Adds text (main blocks in page order, joined by one space; empty if none) and n_chars to every row.
 
-    A null or empty page has an empty text. Columns of df named text or n_chars are replaced, others stay; nothing is
-    dropped or capped, and repeated rows get equal results.
+    A null or empty page has an empty text. Of a page's text only scripts, styles and blocks that are labelled as other
+    than main are left out; text of math, svg, object and unknown elements belongs to the block around it. A very long
+    page is labelled whole, in parts that hand on their state. Columns of df named text or n_chars are replaced, others
+    stay; repeated rows get equal results, and an empty table stays empty.
     """
     model = labeller or fit_labeller()
 
