@@ -17,7 +17,10 @@ import json
 import os
 import re
 import struct
+import sys
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh_path, table
+from sluice.llm.common import broadcast_if_few, fresh_path, partitions_of, table
 
 MAGIC = b"SLTK1\n"
 END_ID = 1
@@ -34,10 +37,26 @@ DICTIONARY_BYTES = 64 << 10
 #: Documents (whole texts) whose ids train the dictionary, at most.
 DICTIONARY_DOCS = 1000
 #: Bytes of frames after which a shard is closed.
-SHARD_BYTES = 4 << 20
-CACHE_PIECES = 1_000_000
+SHARD_BYTES = 1 << 20
+#: Bytes of known pieces that a Python worker keeps at most, the longest one kept, characters of a step.
+KNOWN_BYTES, KEPT_LENGTH, TEXT_STEP = 32 << 20, 64, 1 << 20
+#: Input bytes of a range of ids, about: the number of ranges grows with the input.
+RANGE_BYTES = 64 << 20
 _INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u8")])
-_STEM_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_SPACE = re.compile(rb"[ \t-\r]")
+# The normalizer and splitter of the vocabulary, and the splitter's pieces in lower-case Latin-1.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+SPLITTER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+_L, _N = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t-\r \x85\xa0{_L}{_N}]+".encode("latin-1"))
+
+
+def _state(part) -> dict:
+    return json.loads(part.__getstate__()) if part is not None else {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -47,12 +66,37 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class Kept:
+    """A map that is bounded in bytes: a key is kept when it comes again, and where the map is full its oldest quarter goes."""
+
+    #: Bytes of an entry besides its key and value: two objects and a place in the table, about.
+    ENTRY = 130
+    DOORS = 1 << 19
+
+    def __init__(self, most: int):
+        self.most, self.size, self.map, self.doors, self.marked = most, 0, {}, bytearray(self.DOORS), 0
+
+    def put(self, key, value: bytes) -> None:
+        door = hash(key) & (self.DOORS - 1)
+        if not self.doors[door]:  # not met lately
+            self.marked += 1
+            if self.marked > self.DOORS // 2:
+                self.doors, self.marked = bytearray(self.DOORS), 1
+            self.doors[door] = 1
+            return
+        if self.size > self.most:
+            for old in list(islice(self.map, len(self.map) // 4)):
+                self.size -= len(old) + len(self.map.pop(old)) + self.ENTRY
+        self.map[key] = value
+        self.size += len(key) + len(value) + self.ENTRY
+
+
 class Encoder:
-    """Ids of whole texts as bytes, from the tokenizers library, with a cache of pieces.
+    """Ids of whole texts as bytes, from the tokenizers library, with a bounded map of known pieces.
 
-    The vocabulary's normalizer works on single characters and its pieces never cross ASCII white space, so the ids of a
-    text are those of its words in turn. Only words not met before go to the library: pure words of letters go to its
-    model, all others through its whole encode().
+    The vocabulary's normalizer works on single characters, its pieces never cross white space, and PIECES cuts
+    lower-cased Latin-1 text as its splitter does. So the ids of a text are those of its pieces in turn: pieces not met
+    before go to the library's model, words with other letters through its whole encode().
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -60,56 +104,67 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        #: By words only where the vocabulary is of the form that this is exact for.
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE" and spec["normalizer"]["normalizers"][1]["pattern"] == {"Regex": "\\s+"}
-        self.letters, self.cache, self.end = _byte_letters(), {}, np.array([end_id], self.kind).tobytes()
+        #: By pieces only where the vocabulary is of the form that this is exact for.
+        self.by_piece = _state(self.tokenizer.normalizer) == NORMALIZER and _state(self.tokenizer.pre_tokenizer) == SPLITTER and type(self.tokenizer.model).__name__ == "BPE"
+        self.letters, self.end = _byte_letters(), np.array([end_id], self.kind).tobytes()
+        self.code, self.known = "H" if self.kind.itemsize == 2 else "I", Kept(KNOWN_BYTES)
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _letters_only(self, word: str) -> bytes:
-        """A lower-case word of letters, which is one piece for certain."""
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return self._pack([t.id for t in self.tokenizer.model.tokenize(shown)])
-
-    def _piece(self, key: bytes, plain: bool) -> bytes:
-        if len(self.cache) >= CACHE_PIECES:
-            self.cache.clear()
-        word = key.decode()
-        if plain and word.isalpha():
-            got = self._letters_only(word)
-        elif plain and (m := _STEM_TAIL.fullmatch(word)):
-            stem, tail = m[1].encode(), m[2].encode()
-            got = (self.cache.get(stem) or self._piece(stem, plain)) + (self.cache.get(tail) or self._piece(tail, plain))
-        else:
-            got = self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        self.cache[key] = got
-        return got
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _keep(self, key, ids: bytes) -> bytes:
+        if len(key) <= KEPT_LENGTH:
+            self.known.put(key, ids)
+        return ids
+
+    def _piece(self, piece: bytes) -> bytes:
+        if (got := self.known.map.get(piece)) is not None:  # met for the first time a moment ago
+            return got
+        word = piece.decode("latin-1")
+        shown = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return self._keep(piece, self._pack([t.id for t in self.tokenizer.model.tokenize(shown)]))
+
+    def _foreign(self, word: str) -> bytes:
+        """A word with letters whose lower case or composition may be more than one character's affair."""
+        got = self.known.map.get(word)
+        return got if got is not None else self._keep(word, self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids))
+
+    def _latin(self, raw: bytes) -> bytes:
+        """Ids of lower-case Latin-1 text, in steps that end at white space."""
+        out, at = [], 0
+        while at < len(raw):
+            end = at + TEXT_STEP
+            end = m.start() if end < len(raw) and (m := _SPACE.search(raw, end)) else len(raw)
+            pieces = PIECES.findall(raw, at, end)
+            got = list(map(self.known.map.get, pieces))
+            if None in got:
+                got = [g if g is not None else self._piece(p) for p, g in zip(pieces, got, strict=True)]
+            out.append(b"".join(got))
+            at = end
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Serialized ids of a whole text (null: empty), the end id last."""
         text = text or ""
-        if not self.by_word:
+        if not self.by_piece:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end
         try:
             text.encode("latin-1")
-        except UnicodeEncodeError:  # letters whose lower case or composition may be more than one character's affair
-            return b"".join([self._pack(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids) if not w.isascii() else self.cache.get(w.lower()) or self._piece(w.lower(), True) for w in text.encode("utf-8", "replace").split()]) + self.end
-        words, cache = text.lower().encode().split(), self.cache
-        got = list(map(cache.get, words))
-        if None in got:
-            got = [g if g is not None else cache.get(w) or self._piece(w, True) for w, g in zip(words, got, strict=True)]
-        return b"".join(got) + self.end
+        except UnicodeEncodeError:
+            words = [w.decode() for w in text.encode("utf-8", "replace").split()]
+            return b"".join([self._latin(w.lower().encode()) if w.isascii() else self._foreign(w) for w in words]) + self.end
+        return self._latin(text.lower().encode("latin-1")) + self.end
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_of(path: str) -> Encoder:
-    """The encoder of this Python worker, kept from task to task with its cache."""
+    """The encoder of this Python worker, kept from task to task with its maps, which are bounded in bytes."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -155,41 +210,51 @@ def _dictionary(raw: bytes):
 
 
 def train_dictionary(docs: DataFrame, path: str, limit: int = DICTIONARY_DOCS, seed: int = 42) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most limit whole documents in hash order; empty if too few."""
-    ids = [r[0] for r in docs.select("doc_id").dropna().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(limit).collect()]
-    if not ids:
-        return b""
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").dropna()
+    """A zstandard dictionary from the serialized ids of at most limit whole distinct texts in hash order; empty if too few.
+
+    The texts come from a share of the hash range, so copies count once and no more than about limit rows are shuffled.
+    """
+    share = min(1.0, limit / max(1, docs.count()))
+    rows = docs.select("text", F.xxhash64("text", F.lit(seed)).alias("h")).dropna(subset=["text"])
+    rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+    rows = rows.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(limit)
 
     def run(batches):
         encoder = encoder_of(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.encode(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder.encode(t) for t in b.column(1).to_pylist()], pa.binary())], names=["h", "ids"])
 
-    samples = [bytes(r["ids"]) for r in sorted(rows.mapInArrow(run, "doc_id long, ids binary").collect(), key=lambda r: (r[0], bytes(r[1])))]
+    samples = [bytes(r["ids"]) for r in sorted(rows.mapInArrow(run, "h long, ids binary").collect(), key=lambda r: r["h"])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too short samples
         return b""
 
 
+SHARDS = "first_id long, no int, before long, tokens long, shard binary"
+
+
 def write_shards(docs: DataFrame, path: str, out: str) -> str:
-    """Encode (doc_id, text) and write shards in ascending order of doc_id (null first; equal ids by text) below out."""
+    """Encode (doc_id, text) and write shards in ascending order of doc_id (null first; equal ids by hash of the text, then text) below out.
+
+    Ranges are cut by id and hash, so the rows of an id that many rows share are dealt out as well.
+    """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     dictionary = train_dictionary(docs, path)
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").write.parquet(f"{out}/dictionary")
-    ordered = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    ordered = docs.repartitionByRange(partitions_of(docs, RANGE_BYTES), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
 
     def run(batches):
         encoder, packer = encoder_of(path), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary))
-        held, size, no = [], 0, 0
+        held, size, no, before = [], 0, 0, 0
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
 
         def shard():
-            raw = pack_shard(held, dictionary, encoder.kind.itemsize)
             named = [d[0] for d in held if d[0] is not None]
-            return pa.RecordBatch.from_arrays([pa.array([min(named, default=None)], pa.int64()), pa.array([no], pa.int32()), pa.array([sum(d[2] for d in held)], pa.int64()), pa.array([raw], pa.binary())], names=["first_id", "no", "tokens", "shard"])
+            row = (min(named, default=None), no, before, sum(d[2] for d in held), pack_shard(held, dictionary, encoder.kind.itemsize))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=["first_id", "no", "before", "tokens", "shard"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -198,22 +263,22 @@ def write_shards(docs: DataFrame, path: str, out: str) -> str:
                 size += len(held[-1][1])
                 if size >= SHARD_BYTES:
                     yield shard()
+                    before += sum(d[2] for d in held)
                     held, size, no = [], 0, no + 1
         if held:
             yield shard()
 
-    numbered = ordered.mapInArrow(run, "first_id long, no int, tokens long, shard binary").withColumn("range", F.spark_partition_id())
-    numbered.write.parquet(f"{out}/shards")
+    ordered.select("doc_id", "text").mapInArrow(run, SHARDS).withColumn("range", F.spark_partition_id()).write.parquet(f"{out}/shards")
     return out
 
 
 def read_shards(spark, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the shards below out."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the shards below out, which are not shuffled."""
     dictionary = bytes(spark.read.parquet(f"{out}/dictionary").first()[0])
     shards = spark.read.parquet(f"{out}/shards")
-    order = Window.orderBy("range", "no")  # one row a shard: ids and counts, no frames
-    before = shards.select("range", "no", "tokens").withColumn("before", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = shards.join(before.select("range", "no", "before"), ["range", "no"]).select("before", "shard")
+    sums = shards.groupBy("range").agg(F.sum("tokens").alias("n"))  # one row a range: as many as the writer had tasks
+    starts = sums.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("start"))
+    placed = shards.join(broadcast_if_few(starts), "range").select((F.col("start") + F.col("before")).alias("at"), "shard")
 
     def run(batches):
         for b in batches:
@@ -226,7 +291,8 @@ def read_shards(spark, out: str) -> DataFrame:
                     ids = shard.ids(k)
                     counts.append(len(ids))
                     crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([shard.doc_id(k) for k in range(len(n))], pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                cols = ([shard.doc_id(k) for k in range(len(n))], starts, counts, crc)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -235,7 +301,8 @@ def tokenize(docs: DataFrame, path: str, out: str | None = None) -> DataFrame:
     """Write docs (doc_id, text) as shards and read them back: one row per row of docs.
 
     Null and empty texts hold the end id alone; repeated rows are written as often as they come; an empty table gives an
-    empty result. out: a path below which shards are written, else a fresh one in the shared folder.
+    empty result; a very long text is encoded whole, in steps of bounded size. Ids are long integers or null; other
+    columns of docs are not read. out: a path below which shards are written, else a fresh one in the shared folder.
     """
     spark = docs.sparkSession
     return read_shards(spark, write_shards(docs, path, out or fresh_path(spark, "tokens")))
