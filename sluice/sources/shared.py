@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one serves a session that runs in one process (tests); others fail."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "sluice-checkpoints")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
+        folder = os.path.join(tempfile.gettempdir(), "sluice-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -28,7 +31,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the table of written(); nothing may read it any more."""
+    remove_path(df.sparkSession, df.written_path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
