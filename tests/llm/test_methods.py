@@ -201,7 +201,7 @@ def test_known_pieces_are_bounded():
 
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
     encoder, plain = tokens.Encoder(path), Tokenizer.from_file(path)
-    encoder.known = tokens.Kept(20_000)
+    encoder.known.most = 20_000
     texts = [" ".join("".join(rng.choice("abcdefg'1.") for _ in range(rng.randint(1, 9))) for _ in range(200)) for _ in range(40)]
     for t in [*texts, *texts, "x" * 300_000, "\u4e16 " * 1000, chr(0x130) + "a b"]:
         ids = np.frombuffer(encoder.encode(t), "<u2").tolist()
@@ -222,3 +222,26 @@ def test_shards_of_other_ids(spark, kind, tmp_path):
         assert r.start == at
         at += r.n_tokens
     assert zlib.crc32(np.array([1], "<u4").tobytes()) in {r.ids_crc32 for r in got if r.doc_id == 3}
+
+
+def test_pipeline_stages_count_every_row(spark, tmp_path):
+    """Rows with null ids, repeated ids and clashing column names go in and out of each stage as brute force says."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = [prose(rng, 40) for _ in range(12)]
+    rows = [(i, t, "s0", 1, "k", 9) for i, t in enumerate(texts)] + [(None, prose(rng, 40), "s1", 2, None, 9), (None, prose(rng, 40), None, 2, "k", 9), (3, prose(rng, 40), "s1", None, "k", 9), (3, texts[5], "s1", 1, "k", 9), (20, texts[0], "s1", 1, "k", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int, row_key string, count int")
+    spark.createDataFrame([(0, texts[7])], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()
+    least = {}
+    for r in rows:  # one of each text: of smallest id, null ids last
+        if r[1] not in least or (r[0] is None, r[0] or 0) < (least[r[1]][0] is None, least[r[1]][0] or 0):
+            least[r[1]] = r
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, least.values()))
+    clean = corpus_pipeline.drop_leaks(spark, df, f"file://{tmp_path}").collect()
+    assert sorted(map(repr, map(tuple, clean))) == sorted(repr(r) for r in rows if r[1] != texts[7])
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    assert mixed.columns == df.columns and {tuple(r) for r in mixed.collect()} <= set(rows) and mixed.filter("doc_id is null").count() > 0
+    for stage in (corpus_pipeline.keep_one_of_each_group, corpus_pipeline.mix_sources):
+        assert stage(spark, df.limit(0), "").count() == 0
