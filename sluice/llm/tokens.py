@@ -39,7 +39,7 @@ DICTIONARY_DOCS = 1000
 #: Bytes of frames after which a shard is closed.
 SHARD_BYTES = 1 << 20
 #: Bytes of known pieces that a Python worker keeps at most, the longest one kept, characters of a step.
-KNOWN_BYTES, KEPT_LENGTH, TEXT_STEP = 32 << 20, 64, 1 << 20
+KNOWN_BYTES, KEPT_LENGTH, TEXT_STEP = 64 << 20, 64, 1 << 20
 #: Input bytes of a range of ids, about: the number of ranges grows with the input.
 RANGE_BYTES = 64 << 20
 _INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("tokens", "<u8")])
@@ -66,29 +66,34 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class Kept:
-    """A map that is bounded in bytes: a key is kept when it comes again, and where the map is full its oldest quarter goes."""
+class Known(dict):
+    """Values of make by key, bounded in bytes: a key is kept when it comes again, and where the map is full its oldest quarter goes."""
 
     #: Bytes of an entry besides its key and value: two objects and a place in the table, about.
     ENTRY = 130
     DOORS = 1 << 19
 
-    def __init__(self, most: int):
-        self.most, self.size, self.map, self.doors, self.marked = most, 0, {}, bytearray(self.DOORS), 0
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.size, self.doors, self.marked = make, most, 0, bytearray(self.DOORS), 0
 
-    def put(self, key, value: bytes) -> None:
+    def __missing__(self, key) -> bytes:
+        value = self.make(key)
+        if len(key) > KEPT_LENGTH:
+            return value
         door = hash(key) & (self.DOORS - 1)
         if not self.doors[door]:  # not met lately
             self.marked += 1
             if self.marked > self.DOORS // 2:
                 self.doors, self.marked = bytearray(self.DOORS), 1
             self.doors[door] = 1
-            return
+            return value
         if self.size > self.most:
-            for old in list(islice(self.map, len(self.map) // 4)):
-                self.size -= len(old) + len(self.map.pop(old)) + self.ENTRY
-        self.map[key] = value
+            for old in list(islice(self, len(self) // 4)):
+                self.size -= len(old) + len(self.pop(old)) + self.ENTRY
+        self[key] = value
         self.size += len(key) + len(value) + self.ENTRY
+        return value
 
 
 class Encoder:
@@ -104,11 +109,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         #: By pieces only where the vocabulary is of the form that this is exact for.
         self.by_piece = _state(self.tokenizer.normalizer) == NORMALIZER and _state(self.tokenizer.pre_tokenizer) == SPLITTER and type(self.tokenizer.model).__name__ == "BPE"
         self.letters, self.end = _byte_letters(), np.array([end_id], self.kind).tobytes()
-        self.code, self.known = "H" if self.kind.itemsize == 2 else "I", Kept(KNOWN_BYTES)
+        self.code, self.known = "H" if self.kind.itemsize == 2 else "I", Known(self._ids, KNOWN_BYTES)
 
     def _pack(self, ids) -> bytes:
         out = array(self.code, ids)
@@ -116,22 +122,13 @@ class Encoder:
             out.byteswap()
         return out.tobytes()
 
-    def _keep(self, key, ids: bytes) -> bytes:
-        if len(key) <= KEPT_LENGTH:
-            self.known.put(key, ids)
-        return ids
-
-    def _piece(self, piece: bytes) -> bytes:
-        if (got := self.known.map.get(piece)) is not None:  # met for the first time a moment ago
-            return got
-        word = piece.decode("latin-1")
+    def _ids(self, part: bytes | str) -> bytes:
+        """Ids of a piece (bytes), or of a word whose letters' lower case or composition may be more than one character's affair."""
+        if isinstance(part, str):
+            return self._pack(self.tokenizer.encode(part, add_special_tokens=False).ids)
+        word = part.decode("latin-1")
         shown = word if word.isalpha() and word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return self._keep(piece, self._pack([t.id for t in self.tokenizer.model.tokenize(shown)]))
-
-    def _foreign(self, word: str) -> bytes:
-        """A word with letters whose lower case or composition may be more than one character's affair."""
-        got = self.known.map.get(word)
-        return got if got is not None else self._keep(word, self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids))
+        return self._pack([t.id for t in self.model.tokenize(shown)])
 
     def _latin(self, raw: bytes) -> bytes:
         """Ids of lower-case Latin-1 text, in steps that end at white space."""
@@ -139,11 +136,7 @@ class Encoder:
         while at < len(raw):
             end = at + TEXT_STEP
             end = m.start() if end < len(raw) and (m := _SPACE.search(raw, end)) else len(raw)
-            pieces = PIECES.findall(raw, at, end)
-            got = list(map(self.known.map.get, pieces))
-            if None in got:
-                got = [g if g is not None else self._piece(p) for p, g in zip(pieces, got, strict=True)]
-            out.append(b"".join(got))
+            out.append(b"".join(map(self.known.__getitem__, PIECES.findall(raw, at, end))))
             at = end
         return b"".join(out)
 
@@ -156,7 +149,7 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             words = [w.decode() for w in text.encode("utf-8", "replace").split()]
-            return b"".join([self._latin(w.lower().encode()) if w.isascii() else self._foreign(w) for w in words]) + self.end
+            return b"".join([self._latin(w.lower().encode()) if w.isascii() else self.known[w] for w in words]) + self.end
         return self._latin(text.lower().encode("latin-1")) + self.end
 
 
