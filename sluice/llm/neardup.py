@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import append_columns, table, written
+from sluice.llm.common import append_columns, broadcast_if_few, table, written
 from sluice.operators.graph import components
+from sluice.sources.shared import forget
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -33,6 +34,8 @@ CHUNK = 1024
 SIMILAR_WORDS, SIMILAR_TENTHS = 5, 8
 #: Texts of the sample that tells common shingles, about, and the most that are told.
 SAMPLE, COMMON = 10_000, 200_000
+#: Turns in which a posting list's members meet its hubs alone, before all pairs of different components do; hubs of a turn.
+HUB_TURNS, HUBS = 2, 4
 _TRIPLES = [tuple(base + p for p in range(4) if p != out) for base in (0, 4) for out in range(4)]
 
 
@@ -178,43 +181,111 @@ def _common_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(counted.select("x").toArrow().column("x").to_numpy().view(np.uint64))
 
 
-def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): all pairs of keys of sets (key, n, prefix, th) whose shingle sets have a similarity of 0.8 or more.
+def sketch(s: np.ndarray) -> bytes:
+    """How many hashes of a set begin with each value of their first bits (255: that many or more), about two a value."""
+    bits = min(11, max(3, int(len(s)).bit_length() - 1))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
-    Prefix filtering, exact: in one fixed order, common shingles last, two such sets share one of each other's first
-    n - ceil(0.8 n) + 1 shingles. Candidates are verified on the whole sets of their texts (texts: text, th). Long
-    posting lists are dealt out in pairs of chunks.
-    """
-    postings = sets.select("key", "n", F.explode("prefix").alias("x"))
-    lengths = postings.groupBy("x").agg(F.count("*").alias("held")).filter("held > 1")
-    met = postings.join(lengths, "x").withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("long"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    met = met.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "key", "n")
-    a, b = met.withColumnsRenamed({"key": "a", "n": "n_a", "side": "side_a"}), met.withColumnsRenamed({"key": "b", "n": "n_b", "side": "side_b"})
-    fits = (F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("side_a") != F.col("side_b"))) & (10 * F.least("n_a", "n_b") >= SIMILAR_TENTHS * F.greatest("n_a", "n_b"))
-    pairs = written(a.join(b, ["x", "i", "j"]).filter(fits).select("a", "b").distinct(), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = written(sets.join(wanted, "key", "left_semi").select("th"), "wanted")
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """No two sets with these sketches share more hashes: the longer sketch is folded, the smaller counts are summed."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    a[a == 255], b[b == 255] = 1 << 40, 1 << 40
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(n, -1).sum(axis=1), b.reshape(n, -1).sum(axis=1)).sum())
+
+
+def _alike(shared: int, n_a: int, n_b: int) -> bool:
+    return 10 * shared >= SIMILAR_TENTHS * (n_a + n_b - shared)
+
+
+def _fits(a: str, b: str):
+    """Sizes of two sets (n_, with these endings) that allow the similarity, with a shared shingle at their places (pos_), if it is the first they share."""
+    sizes = 10 * F.least(f"n_{a}", f"n_{b}") >= SIMILAR_TENTHS * F.greatest(f"n_{a}", f"n_{b}")
+    after = F.least(F.col(f"n_{a}") - F.col(f"pos_{a}"), F.col(f"n_{b}") - F.col(f"pos_{b}"))
+    return sizes & ((10 + SIMILAR_TENTHS) * after >= SIMILAR_TENTHS * (F.col(f"n_{a}") + F.col(f"n_{b}")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of similarity 0.8 or more: first by sketches, which drop no such pair, then by the whole sets of what is left."""
+    small = sets.select("key", "n", "sketch")
+    for side in "ab":
+        pairs = pairs.join(small.withColumnsRenamed({"key": side, "n": f"n_{side}", "sketch": f"s_{side}"}), side)
+
+    def prune(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("s_a", "s_b", "n_a", "n_b")]
+            keep = [_alike(most_shared(x, y), m, n) for x, y, m, n in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    likely = written(pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(prune, "a long, b long"), "likely")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    named = written(sets.select("key", "th").join(wanted, "key", "left_semi").select("th"), "wanted")
 
     def spell(batches):
         for batch in batches:
             got = [shingle_set(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["key", "s"])
 
-    named = F.broadcast(named) if named.count() <= 1_000_000 else named
-    spelled = written(texts.join(named, "th", "left_semi").select("text").mapInArrow(spell, "key long, s binary").dropDuplicates(["key"]), "sets")
-    both = pairs.join(spelled.withColumnsRenamed({"key": "a", "s": "s_a"}), "a").join(spelled.withColumnsRenamed({"key": "b", "s": "s_b"}), "b")
+    spelled = texts.join(broadcast_if_few(named, 1_000_000), "th", "left_semi").select("text").mapInArrow(spell, "key long, s binary")
+    spelled = written(spelled.dropDuplicates(["key"]), "sets")
+    both = likely.join(spelled.withColumnsRenamed({"key": "a", "s": "s_a"}), "a").join(spelled.withColumnsRenamed({"key": "b", "s": "s_b"}), "b")
 
     def verify(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("s_a"), batch.column("s_b")):
+            for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(10 * shared >= SIMILAR_TENTHS * (len(x) + len(y) - shared))
+                keep.append(_alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "s_a", "s_b").mapInArrow(verify, "a long, b long")
+    out = written(both.select("a", "b", "s_a", "s_b").mapInArrow(verify, "a long, b long"), "links")
+    for table_ in (likely, named, spelled):
+        forget(table_)
+    return out
+
+
+def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links of keys of sets (key, n, prefix, sketch, th) that connect what all pairs of similarity 0.8 or more connect.
+
+    Prefix filtering, exact: in one fixed order, common shingles last, two such sets share one of each other's first
+    n - ceil(0.8 n) + 1 shingles, and what follows the first shared one leaves room for the rest. Twice each posting
+    list's hubs, members picked by hashes, are compared with the members of other components, so a large group of near
+    copies costs a pair a member; then, in the lists that still hold several components, all pairs of different ones
+    are. Long lists are dealt out in pairs of chunks. All candidates are verified on the whole sets of their texts
+    (texts: text, th).
+    """
+    postings = sets.select("key", "n", F.posexplode("prefix").alias("pos", "x"))
+    shared = postings.groupBy("x").agg(F.count("*").alias("held")).filter("held > 1")
+    met = written(postings.join(shared, "x"), "postings")
+    found = label = judged = None
+    for turn in range(HUB_TURNS):
+        rows = _labelled(met, label)
+        hub = lambda k: F.min(F.struct(F.xxhash64("key", F.lit(HUBS * turn + k)).alias("h"), F.col("key").alias("key_h"), F.col("n").alias("n_h"), F.col("pos").alias("pos_h"), F.col("label").alias("label_h")))  # noqa: B023, E731
+        open_ = rows.groupBy("x").agg(F.array_distinct(F.array(*map(hub, range(HUBS)))).alias("hubs"), F.min("label").alias("least"), F.max("label").alias("most"))
+        open_ = open_.filter("least <> most").select("x", F.explode("hubs").alias("hub")).select("x", "hub.*")
+        pairs = rows.withColumnsRenamed({"n": "n_m", "pos": "pos_m"}).join(open_, "x").filter((F.col("label") != F.col("label_h")) & _fits("m", "h"))
+        pairs = pairs.select(F.least("key", "key_h").alias("a"), F.greatest("key", "key_h").alias("b")).distinct()
+        pairs = written(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"), "hubs")
+        links = _verified(pairs, sets, texts)
+        judged, found = (pairs, links) if judged is None else (judged.unionByName(pairs), found.unionByName(links))
+        label = components(found).withColumnsRenamed({"node": "key", "root": "label"})
+    rows = _labelled(met, label)
+    still = rows.groupBy("x").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("x")
+    rows = rows.join(still, "x").withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("long")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "key", "n", "pos", "label")
+    a, b = (rows.withColumnsRenamed({"key": k, **{c: f"{c}_{k}" for c in ("n", "pos", "side", "label")}}) for k in "ab")
+    apart = (F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("side_a") != F.col("side_b"))) & (F.col("label_a") != F.col("label_b")) & _fits("a", "b")
+    rest = written(a.join(b, ["x", "i", "j"]).filter(apart).select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), "candidates")
+    return found.unionByName(_verified(rest, sets, texts))
+
+
+def _labelled(met: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Postings with the component of their key; before the first links each key is its own."""
+    if label is None:
+        return met.withColumn("label", F.col("key"))
+    return met.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
 def _set_key(s: np.ndarray) -> int:
@@ -232,7 +303,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = _common_shingles(texts)
 
     def make(part):
-        keys, sizes, prefixes = [], [], []
+        keys, sizes, prefixes, sketches = [], [], [], []
         for t in part.column("text").to_pylist():
             s = shingle_set(t)
             n = len(s)
@@ -240,11 +311,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keys.append(_set_key(s))
             sizes.append(n)
             prefixes.append(np.concatenate([s[~often], s[often]])[: n + (-SIMILAR_TENTHS * n // 10) + 1 if n else 0].view(np.int64))
-        return keys, sizes, prefixes
+            sketches.append(sketch(s))
+        return keys, sizes, prefixes, sketches
 
-    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
     rows = written(append_columns(texts, "text", fields, make).drop("text"), "prefixes")
-    sets = rows.groupBy("key").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min("th").alias("th"))
+    sets = rows.groupBy("key").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("th").alias("th"))
     stars = components(similar_links(written(sets, "distinct-sets"), texts))
     roots = stars.select(F.col("node").alias("key"), "root").union(stars.select(F.col("root").alias("key"), "root").distinct())
     return rows.select("doc_id", "th", "key").join(roots, "key", "left").select("doc_id", "th", F.coalesce("root", "key").alias("root"))
