@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,31 @@ class TierClassifier:
         scored = rows.select("id", "text", "session", F.size("tokens").alias("n_tokens")).join(z, "id")
         return decide(scored, "text", "n_tokens", "session", self.thresholds).select("id", "predicted_tier", "p0", "p1", "p2", "confidence")
 
+    def transform_chain(self, df: DataFrame, id_col: str, group_col: str, order_col: str, text_col: str = "text") -> DataFrame:
+        """id, predicted_tier, confidence of every row, each with the tier of its group's row before as session.
+
+        Each row is decided for no session and for the three; then a group's rows are walked in order, which holds one
+        tier. The order is by order_col (nulls first), then id.
+        """
+        rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("g"), F.col(order_col).alias("o"), F.col(text_col).alias("text"), F.explode(F.array(*map(F.lit, (-1, 0, 1, 2)))).alias("s"))
+        rows = rows.withColumn("key", F.concat_ws("/", "id", "s")).withColumn("session", F.when(F.col("s") >= 0, F.col("s")))
+        got = self.transform(rows, "key", "text", "session").select(F.col("id").alias("key"), "predicted_tier", "confidence")
+        each = rows.drop("text", "session").join(got, "key").groupBy("id", "g", "o").agg(F.map_from_entries(F.collect_list(F.struct("s", "predicted_tier"))).alias("tiers"), F.map_from_entries(F.collect_list(F.struct("s", "confidence"))).alias("sure"))
+        flat = each.select("id", F.xxhash64("g").alias("h"), "g", "o", F.array(*[F.col("tiers")[k] for k in range(-1, 3)]).alias("t"), F.array(*[F.col("sure")[k] for k in range(-1, 3)]).alias("c"))
+
+        def walk(frames):
+            group, tier = None, -1
+            for pdf in frames:
+                tiers, sure = [], []
+                for g, t, c in zip(pdf["g"], pdf["t"], pdf["c"], strict=True):
+                    at = tier + 1 if g == group else 0
+                    tiers.append(int(t[at]))
+                    sure.append(float(c[at]))
+                    group, tier = g, tiers[-1]
+                yield pd.DataFrame({"id": pdf["id"], "predicted_tier": pd.Series(tiers, dtype="int32"), "confidence": pd.Series(sure, dtype="float64")})
+
+        return flat.repartition("h").sortWithinPartitions("h", "g", "o", "id").select("id", "g", "t", "c").mapInPandas(walk, "id string, predicted_tier int, confidence double")
+
     def save(self, path: str) -> None:
         """Tables and a versioned description below path."""
         for name in ("vocab", "weights", "bias"):

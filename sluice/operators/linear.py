@@ -81,9 +81,11 @@ def train_mllib(vectors: DataFrame, l2: float = 1e-5, max_iter: int = 100):
 
 
 def to_vectors(features: DataFrame, id_col: str, size: int) -> DataFrame:
-    """(id, features): MLlib's sparse vectors from the long form; a document's entries are bounded by the vocabulary."""
-    from pyspark.ml.functions import array_to_vector
+    """(id, features): MLlib's sparse vectors from the long form, with as many entries as a document has known tokens."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    pairs = features.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    return pairs.select(id_col, array_to_vector(dense).alias("features"))
+    @F.udf(VectorUDT())
+    def sparse(entries):
+        return SparseVector(size, [e[0] for e in entries], [e[1] for e in entries])
+
+    return features.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e")).select(id_col, sparse("e").alias("features"))

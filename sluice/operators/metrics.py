@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.sources.shared import written
+
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """(true_tier, pred_tier, n) for all nine cells; rows without two known tiers are not counted."""
@@ -26,8 +28,12 @@ def per_class(matrix: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """One row: rows, accuracy over all rows, plain means of the three classes' metrics."""
-    right = F.coalesce((F.col(truth) == F.col(pred)) & F.col(truth).between(0, 2), F.lit(False))
-    totals = df.agg(F.count("*").alias("n"), F.avg(right.cast("int")).alias("accuracy"))
-    means = per_class(confusion(df, truth, pred)).agg(*[(F.sum(c) / 3).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+    """One row: rows, accuracy over all rows, plain means of the three classes' metrics. df is read once, for its counts."""
+    counts = written(df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n")), "counts")
+    right = F.sum(F.when((F.col("t") == F.col("p")) & F.col("t").between(0, 2), F.col("n")).otherwise(0))
+    totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (right / F.sum("n")).alias("accuracy"))
+    grid = df.sparkSession.createDataFrame([(a, b) for a in range(3) for b in range(3)], "true_tier int, pred_tier int")
+    known = counts.select(F.col("t").cast("int").alias("true_tier"), F.col("p").cast("int").alias("pred_tier"), "n").groupBy("true_tier", "pred_tier").agg(F.sum("n").alias("n"))
+    matrix = grid.join(F.broadcast(known), ["true_tier", "pred_tier"], "left").select("true_tier", "pred_tier", F.coalesce("n", F.lit(0)).alias("n"))
+    means = per_class(matrix).agg(*[(F.sum(c) / 3).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
     return totals.join(means)

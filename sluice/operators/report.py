@@ -13,9 +13,9 @@ def label_distribution(df: DataFrame, label: str) -> DataFrame:
 
 
 def top_features(weights: DataFrame, vocab: DataFrame, k: int = 10) -> DataFrame:
-    """(tier, rank, token, weight): the k largest weights of each tier, ties by idx."""
+    """(tier, rank, token, weight): the k largest weights of each tier; weights that agree to nine digits are ties, by idx."""
     rows = weights.select("idx", F.posexplode(F.array("w0", "w1", "w2")).alias("tier", "weight"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("weight"), "idx"))).filter(F.col("rank") <= k)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("tier").orderBy(F.desc(F.round("weight", 9)), "idx"))).filter(F.col("rank") <= k)
     return ranked.join(F.broadcast(vocab.select("idx", "token")), "idx").select("tier", "rank", "token", "weight")
 
 

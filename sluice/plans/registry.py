@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import text as tx
@@ -19,7 +19,7 @@ PHRASES = ["std::vector<int> v; ptr->value == *ref && val != nullptr", "ParseHtt
            "0xFF 2024. 5abc 1E5 3.14", "i++ --j x || y <= z >= w ~q", "deadlock mutex thread-safe", "race condition atomic hazard pointer", "What does std::move do",
            "the and of is was", "XMLHttpRequest snake_case_name camelCase", "HTTPServer2Go x_Y_z", "a & b | c * d"]
 _CASE = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PHRASES)) + " END"
-VOCAB, MIN_DF, LR, SIM = 1000, 2, 50.0, 0.40
+VOCAB, MIN_DF, LR, SIM = 15000, 2, 50.0, 0.40
 _PAT = TokenizerOptions().pattern()
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 
@@ -81,6 +81,7 @@ _NORM = "trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'))"
 _DUP = f"k AS (SELECT doc_id, {_NORM} AS k FROM documents WHERE text IS NOT NULL)"
 _VEC = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v)"
 _PAIRS = f"{_VEC}, pairs AS (SELECT q.vec_id AS query_id, x.vec_id AS id, q.label AS la, x.label AS lb, list_dot_product(q.e, x.e) AS similarity FROM u q JOIN u x ON q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0)"
+_ALL = _PAIRS.replace("q.vec_id <> x.vec_id WHERE q.vec_id % 100 = 0", "q.vec_id < x.vec_id")  # every pair once
 _EDGES = f"{_VEC}, edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) >= {SIM})"
 _CLUST = "reach(node, root) AS (SELECT a, a FROM edges UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b), root AS (SELECT node AS id, min(root) AS root FROM reach GROUP BY node), num AS (SELECT root, cluster_size, row_number() OVER (ORDER BY cluster_size DESC, root) AS cluster FROM (SELECT root, count(*) AS cluster_size FROM root GROUP BY root))"
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> '')"
@@ -230,9 +231,9 @@ def surrogate_ids(spark, sf):
 
 
 # --- the linear learner and the decision stack ----------------------------------------------------------------------
-@query("lr_step1", f"WITH {_TRAIN} SELECT idx, {', '.join(f'round(w{k}, 4) AS w{k}' for k in range(3))} FROM w")
+@query("lr_step1", f"WITH {_TRAIN} SELECT idx, {', '.join(f'round(w{k}, 4) + 0.0::DOUBLE AS w{k}' for k in range(3))} FROM w")
 def lr_step1(spark, sf):
-    return _round(_model(spark, sf)[0].weights, "w0", "w1", "w2")
+    return _round(_model(spark, sf)[0].weights, "w0", "w1", "w2").select("idx", *[(F.col(f"w{k}") + 0.0).alias(f"w{k}") for k in range(3)])  # no negative zero
 
 
 def _scores(spark, sf):
@@ -259,7 +260,7 @@ def lr_loss(spark, sf):
     return _round(linear.cross_entropy(z, labels, linear.class_weights(labels).select("tier", "weight"), m.weights, "doc_id", 1e-5), "loss")
 
 
-@query("top_features", f"WITH {_TRAIN}, l AS (SELECT idx, 0 AS tier, w0 AS weight FROM w UNION ALL SELECT idx, 1, w1 FROM w UNION ALL SELECT idx, 2, w2 FROM w) SELECT CAST(tier AS INTEGER) AS tier, CAST(rank AS INTEGER) AS rank, token, round(weight, 4) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY weight DESC, idx) AS rank FROM l) JOIN voc USING (idx) WHERE rank <= 10")
+@query("top_features", f"WITH {_TRAIN}, l AS (SELECT idx, 0 AS tier, w0 AS weight FROM w UNION ALL SELECT idx, 1, w1 FROM w UNION ALL SELECT idx, 2, w2 FROM w) SELECT CAST(tier AS INTEGER) AS tier, CAST(rank AS INTEGER) AS rank, token, round(weight, 4) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY round(weight, 9) DESC, idx) AS rank FROM l) JOIN voc USING (idx) WHERE rank <= 10")
 def top_features(spark, sf):
     m = _model(spark, sf)[0]
     return _round(report.top_features(m.weights, m.vocab), "weight")
@@ -344,14 +345,19 @@ def _with_labels(pairs, spark, sf):
     return pairs.withColumn("same_label", F.col("label_a") == F.col("label_b"))
 
 
-@query("cosine_pairs", f"WITH {_PAIRS} SELECT query_id, id, round(similarity, 4) AS similarity, la AS label_a, lb AS label_b, la = lb AS same_label FROM pairs WHERE similarity >= {SIM}")
+def _pairs(spark, sf, threshold):
+    pairs = similarity.all_pairs(_t(spark, sf, "embeddings"), threshold).withColumnsRenamed({"id_a": "query_id", "id_b": "id"})
+    return _with_labels(pairs, spark, sf)
+
+
+@query("cosine_pairs", f"WITH {_ALL} SELECT query_id, id, round(similarity, 4) AS similarity, la AS label_a, lb AS label_b, la = lb AS same_label FROM pairs WHERE similarity >= {SIM}")
 def cosine_pairs(spark, sf):
-    return _round(_with_labels(_searched(spark, sf, threshold=SIM), spark, sf), "similarity").select("query_id", "id", "similarity", "label_a", "label_b", "same_label")
+    return _round(_pairs(spark, sf, SIM), "similarity").select("query_id", "id", "similarity", "label_a", "label_b", "same_label")
 
 
-@query("cross_label_pairs", f"WITH {_PAIRS} SELECT query_id, id, round(similarity, 4) AS similarity, la AS label_a, lb AS label_b FROM pairs WHERE similarity >= {SIM} AND la <> lb")
+@query("cross_label_pairs", f"WITH {_ALL} SELECT query_id, id, round(similarity, 4) AS similarity, la AS label_a, lb AS label_b FROM pairs WHERE similarity >= {SIM} AND la <> lb")
 def cross_label_pairs(spark, sf):
-    return _round(_with_labels(_searched(spark, sf, threshold=SIM), spark, sf).filter("not same_label"), "similarity").select("query_id", "id", "similarity", "label_a", "label_b")
+    return _round(_pairs(spark, sf, SIM).filter("not same_label"), "similarity").select("query_id", "id", "similarity", "label_a", "label_b")
 
 
 @query("knn_topk", f"WITH {_PAIRS} SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(similarity, 4) AS similarity, la AS label_a, lb AS label_b FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM pairs) WHERE rank <= 10")
@@ -359,22 +365,22 @@ def knn_topk(spark, sf):
     return _round(_with_labels(_searched(spark, sf, top_k=10), spark, sf), "similarity").select("query_id", "rank", "id", "similarity", "label_a", "label_b")
 
 
-@query("sim_percentiles", f"WITH {_PAIRS} SELECT p AS percentile, round(v, 4) AS similarity FROM (SELECT unnest([50.0, 75.0, 90.0, 95.0, 99.0, 99.5, 99.9]::DOUBLE[]) AS p, unnest(quantile_cont(similarity, [0.5, 0.75, 0.9, 0.95, 0.99, 0.995, 0.999])) AS v FROM pairs)")
+@query("sim_percentiles", f"WITH {_ALL} SELECT p AS percentile, round(v, 4) AS similarity FROM (SELECT unnest([50.0, 75.0, 90.0, 95.0, 99.0, 99.5, 99.9]::DOUBLE[]) AS p, unnest(quantile_cont(similarity, [0.5, 0.75, 0.9, 0.95, 0.99, 0.995, 0.999])) AS v FROM pairs)")
 def sim_percentiles(spark, sf):
-    return _round(similarity.percentiles(_searched(spark, sf)), "similarity")
+    return _round(similarity.all_percentiles(_t(spark, sf, "embeddings")), "similarity")
 
 
 _GRID = (0.1, 0.2, 0.3, 0.4, 0.5)
 
 
-@query("sim_thresholds", f"WITH {_PAIRS} SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (similarity >= t) AS n FROM pairs, (SELECT unnest([{', '.join(map(str, _GRID))}]::DOUBLE[]) AS t) GROUP BY t")
+@query("sim_thresholds", f"WITH {_ALL} SELECT CAST(t AS DOUBLE) AS threshold, count(*) FILTER (similarity >= t) AS n FROM pairs, (SELECT unnest([{', '.join(map(str, _GRID))}]::DOUBLE[]) AS t) GROUP BY t")
 def sim_thresholds(spark, sf):
-    return similarity.threshold_counts(_searched(spark, sf), _GRID)
+    return similarity.all_threshold_counts(_t(spark, sf, "embeddings"), _GRID)
 
 
-@query("run_summary", f"WITH {_PAIRS} SELECT (SELECT count(*) FROM embeddings) AS samples, (SELECT max(len(embedding)) FROM embeddings)::INTEGER AS dimensions, count(*) AS similar_pairs, count(*) FILTER (la <> lb) AS cross_label_pairs, CAST({SIM} AS DOUBLE) AS threshold FROM pairs WHERE similarity >= {SIM}")
+@query("run_summary", f"WITH {_ALL} SELECT (SELECT count(*) FROM embeddings) AS samples, (SELECT max(len(embedding)) FROM embeddings)::INTEGER AS dimensions, count(*) AS similar_pairs, count(*) FILTER (la <> lb) AS cross_label_pairs, CAST({SIM} AS DOUBLE) AS threshold FROM pairs WHERE similarity >= {SIM}")
 def run_summary(spark, sf):
-    return _summary(spark, sf, _with_labels(_searched(spark, sf, threshold=SIM), spark, sf))
+    return _summary(spark, sf, _pairs(spark, sf, SIM))
 
 
 def _summary(spark, sf, pairs):
@@ -410,12 +416,12 @@ _PAIRTEXT = f"pt AS (SELECT query_id AS id_a, id AS id_b, CASE la % 3 WHEN 0 THE
 _CONF = tx.CONCURRENCY
 
 
-@query("reconcile_cross_label", f"""WITH {_PAIRS}, {_PAIRTEXT}, c AS (SELECT *, CASE WHEN trim(label_a, '[]') = 'TIER_2_REFACTOR' THEN 'TIER_2_MEDIUM' ELSE label_a END AS a, CASE WHEN trim(label_b, '[]') = 'TIER_2_REFACTOR' THEN 'TIER_2_MEDIUM' ELSE label_b END AS b FROM pt),
+@query("reconcile_cross_label", f"""WITH {_ALL}, {_PAIRTEXT}, c AS (SELECT *, CASE WHEN trim(label_a, '[]') = 'TIER_2_REFACTOR' THEN 'TIER_2_MEDIUM' ELSE label_a END AS a, CASE WHEN trim(label_b, '[]') = 'TIER_2_REFACTOR' THEN 'TIER_2_MEDIUM' ELSE label_b END AS b FROM pt),
 m AS (SELECT *, (a = 'TIER_2_MEDIUM' AND b = 'TIER_3_COMPLEX') OR (a = 'TIER_3_COMPLEX' AND b = 'TIER_2_MEDIUM') AS mixed, regexp_matches(text_a, '{_CONF}') OR regexp_matches(text_b, '{_CONF}') AS about FROM c),
 g AS (SELECT DISTINCT CASE WHEN mixed AND about THEN CASE WHEN a = 'TIER_2_MEDIUM' THEN id_a ELSE id_b END WHEN mixed THEN id_b WHEN lower(trim(text_a)) = lower(trim(text_b)) THEN id_b END AS id FROM m)
 SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM g WHERE id IS NOT NULL)""")
 def reconcile_cross_label(spark, sf):
-    return _reconciled(spark, sf, _with_labels(_searched(spark, sf, threshold=0.2), spark, sf))
+    return _reconciled(spark, sf, _pairs(spark, sf, 0.2))
 
 
 def _reconciled(spark, sf, pairs):
@@ -432,42 +438,6 @@ def greedy_dedup(spark, sf):
     return dedup.greedy_drops(similarity.all_pairs(_t(spark, sf, "embeddings"), 0.2), 0.3)
 
 
-# The queries above with SQL take the SQL's query ids; these take every pair id_a < id_b. SQL of theirs isn't written.
-def _all_labelled(spark, sf, threshold):
-    pairs = similarity.all_pairs(_t(spark, sf, "embeddings"), threshold).withColumnsRenamed({"id_a": "query_id", "id_b": "id"})
-    return _with_labels(pairs, spark, sf)
-
-
-@query("cosine_pairs_all")
-def cosine_pairs_all(spark, sf):
-    return _round(_all_labelled(spark, sf, SIM), "similarity").select("query_id", "id", "similarity", "label_a", "label_b", "same_label")
-
-
-@query("cross_label_pairs_all")
-def cross_label_pairs_all(spark, sf):
-    return _round(_all_labelled(spark, sf, SIM).filter("not same_label"), "similarity").select("query_id", "id", "similarity", "label_a", "label_b")
-
-
-@query("sim_percentiles_all")
-def sim_percentiles_all(spark, sf):
-    return _round(similarity.all_percentiles(_t(spark, sf, "embeddings")), "similarity")
-
-
-@query("sim_thresholds_all")
-def sim_thresholds_all(spark, sf):
-    return similarity.all_threshold_counts(_t(spark, sf, "embeddings"), _GRID)
-
-
-@query("run_summary_all")
-def run_summary_all(spark, sf):
-    return _summary(spark, sf, _all_labelled(spark, sf, SIM))
-
-
-@query("reconcile_cross_label_all")
-def reconcile_cross_label_all(spark, sf):
-    return _reconciled(spark, sf, _all_labelled(spark, sf, 0.2))
-
-
 _SETS = f"w AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents), s0 AS (SELECT id, list_sort(list_distinct(list_transform(range(1, greatest(CAST(len(w) AS BIGINT) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS s FROM w WHERE len(w) > 0)"
 
 
@@ -476,13 +446,15 @@ def jaccard_pairs(spark, sf):
     return _round(dedup.jaccard_links(_t(spark, sf, "documents"), "doc_id"), "similarity")
 
 
-@query("jaccard_band", f"WITH w AS (SELECT item_id AS id, {_WORDS} AS w FROM benchmark), s AS (SELECT id, list_distinct(list_transform(range(1, greatest(CAST(len(w) AS BIGINT) - 2, 1) + 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM w WHERE len(w) > 0) SELECT a.id AS id_a, b.id AS id_b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 4) AS similarity FROM s a JOIN s b ON b.id BETWEEN a.id - 200 AND a.id - 1 WHERE len(list_intersect(a.s, b.s)) > 0")
+@query("jaccard_band", f"WITH {_SETS}, e AS (SELECT id, unnest(s) AS x FROM s0), m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND b.id BETWEEN a.id - 200 AND a.id - 1 GROUP BY ALL) SELECT id_a, id_b, round(c / (len(a.s) + len(b.s) - c), 4) AS similarity FROM m JOIN s0 a ON a.id = id_a JOIN s0 b ON b.id = id_b")
 def jaccard_band(spark, sf):
-    rows = _t(spark, sf, "benchmark").select(F.col("item_id").alias("id"), tx.shingles(F.col("text")).alias("s"))
-    shared = rows.select("id", F.explode("s").alias("x"))
-    met = shared.select(F.col("id").alias("id_a"), "x").join(shared.select(F.col("id").alias("id_b"), "x"), "x").filter("id_b between id_a - 200 and id_a - 1").select("id_a", "id_b").distinct()
-    met = met.join(rows.select(F.col("id").alias("id_a"), F.col("s").alias("sa")), "id_a").join(rows.select(F.col("id").alias("id_b"), F.col("s").alias("sb")), "id_b")
-    return met.select("id_a", "id_b", F.round(tx.jaccard(F.col("sa"), F.col("sb")), 4).alias("similarity"))
+    """Similarities of each document and those of the 200 ids before it, where they share a shingle; a shingle meets its own and the next block of ids only."""
+    rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.transform(tx.shingles(F.col("text")), lambda x: F.xxhash64(x)).alias("s"))
+    rows = rows.select("id", F.size("s").alias("n"), F.explode("s").alias("x")).withColumn("block", F.floor(F.col("id") / 200))
+    a = rows.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "x", F.explode(F.array("block", F.col("block") - 1)).alias("block"))
+    b = rows.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "x", "block")
+    shared = a.join(b, ["x", "block"]).filter("id_b between id_a - 200 and id_a - 1").groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    return shared.select("id_a", "id_b", F.round(F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c")), 4).alias("similarity"))
 
 
 @query("greedy_window_dedup")
@@ -574,27 +546,15 @@ def mllib_lr(spark, sf):
     rows, x = _dense(spark, sf, VOCAB)
     data = linear.to_vectors(x, "doc_id", VOCAB).join(rows.select("doc_id", F.col("tier").cast("double").alias("label")), "doc_id")
     weights = linear.class_weights(rows).select(F.col("tier").cast("double").alias("label"), "weight")
-    data = written(data.join(F.broadcast(weights), "label").select("doc_id", "features", "label", "weight").withColumn("features", _as_array("features")), "vectors").withColumn("features", _as_vector("features"))
-    return linear.train_mllib(data, max_iter=30).transform(data).select("doc_id", F.col("label").cast("int").alias("tier"), F.col("prediction").cast("int").alias("predicted_tier"))
-
-
-def _as_array(c):
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(c)
-
-
-def _as_vector(c):
-    from pyspark.ml.functions import array_to_vector
-
-    return array_to_vector(c)
+    data = written(data.join(F.broadcast(weights), "label").select("doc_id", "features", "label", "weight"), "vectors")
+    return linear.train_mllib(data).transform(data).select("doc_id", F.col("label").cast("int").alias("tier"), F.col("prediction").cast("int").alias("predicted_tier"))
 
 
 @query("mlp_predict")
 def mlp_predict(spark, sf):
     rows, x = _dense(spark, sf, 300)
     data = mlp.dense(x, "doc_id", 300).join(rows.select("doc_id", "tier"), "doc_id")
-    return mlp.predict(data, mlp.train(data, "tier", 300, epochs=15), "doc_id", 300)
+    return mlp.predict(data, mlp.train(data, "tier", 300), "doc_id", 300)
 
 
 @query("generate_samples")
@@ -602,15 +562,15 @@ def generate_samples(spark, sf):
     return generate.generate(spark, 5100)
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"WITH {_SELF} SELECT doc_id AS id, predicted_tier, round(confidence, 4) AS confidence FROM dec")
 def model_roundtrip(spark, sf):
     m, rows = _model(spark, sf)
     path = fresh_path(spark, "model")
     m.save(path)
-    return classifier.TierClassifier.load(spark, path).transform(rows, "doc_id")
+    return _round(classifier.TierClassifier.load(spark, path).transform(rows, "doc_id").select("id", "predicted_tier", "confidence"), "confidence")
 
 
-@query("jsonl_roundtrip")
+@query("jsonl_roundtrip", f"WITH {_LD} SELECT CAST(doc_id AS VARCHAR) AS id, text, tier FROM ld WHERE text IS NOT NULL")
 def jsonl_roundtrip(spark, sf):
     path = fresh_path(spark, "jsonl")
     files.write_jsonl(labelled(spark, sf).select(F.col("doc_id").cast("string").alias("id"), "text", "tier"), path)
@@ -624,12 +584,15 @@ def audit_csv_roundtrip(spark, sf):
     return spark.read.schema("id string, text string").csv(path, header=True, multiLine=True, quote='"', escape='"')
 
 
-@query("session_chain")
+_TURNS = "t AS (SELECT concat_ws(':', conv_id, turn) AS id, conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations), four AS (SELECT id || '/' || s AS doc_id, text, s FROM t, (SELECT unnest([-1, 0, 1, 2]) AS s))"
+
+
+@query("session_chain", f"""WITH RECURSIVE {_TURNS}, {_CLASSIFY('four', 'CASE WHEN s >= 0 THEN CAST(s AS INTEGER) END')},
+walk AS (SELECT conv_id, k, id, predicted_tier, confidence FROM t JOIN dec ON dec.doc_id = id || '/-1' WHERE k = 1
+  UNION ALL SELECT t.conv_id, t.k, t.id, dec.predicted_tier, dec.confidence FROM walk JOIN t ON t.conv_id = walk.conv_id AND t.k = walk.k + 1 JOIN dec ON dec.doc_id = t.id || '/' || walk.predicted_tier)
+SELECT id, predicted_tier, round(confidence, 4) AS confidence FROM walk""")
 def session_chain(spark, sf):
-    """Each turn takes its conversation's tier of the turn before as session; a conversation is walked turn by turn."""
+    """Each turn takes the tier that its conversation's turn before was given as its session."""
     m = _model(spark, sf)[0]
     turns = _t(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", "turn", "text")
-    alone = m.transform(turns, "id").select("id", "predicted_tier")
-    last = F.lag("predicted_tier").over(Window.partitionBy("conv_id").orderBy("turn"))
-    with_session = turns.join(alone, "id").withColumn("session", last)
-    return m.transform(with_session.select("id", "text", "session"), "id", session_col="session").select("id", "predicted_tier", F.round("confidence", 4).alias("confidence"))
+    return _round(m.transform_chain(turns, "id", "conv_id", "turn").select("id", "predicted_tier", "confidence"), "confidence")

@@ -157,7 +157,7 @@ def test_greedy_dedup_takes_every_pair(spark, tmp_path):
 
     spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     assert [r.id for r in registry.greedy_dedup(spark, f"file://{tmp_path}").collect()] == [2]
-    assert [(r.query_id, r.id) for r in registry.cross_label_pairs_all(spark, f"file://{tmp_path}").collect()] == [(1, 2)]
+    assert [(r.query_id, r.id) for r in registry.cross_label_pairs(spark, f"file://{tmp_path}").collect()] == [(1, 2)]
 
 
 def test_greedy_window_dedup_reads_documents_past_its_window(spark, tmp_path):
