@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +64,14 @@ def steps(batch: pa.RecordBatch, text_col: str):
         start = end
 
 
+def give_back() -> None:
+    """Return free memory of this Python worker to the system: workers outlive their tasks and share an executor's bound."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make) -> DataFrame:
     """df with new columns from Arrow steps; columns of df of the same names are replaced.
 
@@ -82,6 +92,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
             for part in steps(batch, text_col):
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, k in zip(step(part), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *(f.name for f in fields)])
+        give_back()
 
     return base.mapInArrow(run, schema)
 

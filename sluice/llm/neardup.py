@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import append_columns, broadcast_if_few, table, written
+from sluice.llm.common import append_columns, broadcast_if_few, give_back, table, written
 from sluice.operators.graph import components
 from sluice.sources.shared import forget
 
@@ -226,6 +226,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             got = [shingle_set(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["key", "s"])
+        give_back()
 
     spelled = texts.join(broadcast_if_few(named, 1_000_000), "th", "left_semi").select("text").mapInArrow(spell, "key long, s binary")
     spelled = written(spelled.dropDuplicates(["key"]), "sets")
@@ -238,6 +239,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 keep.append(_alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     out = written(both.select("a", "b", "s_a", "s_b").mapInArrow(verify, "a long, b long"), "links")
     for table_ in (likely, named, spelled):
