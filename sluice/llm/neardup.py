@@ -10,10 +10,16 @@ Only distinct fingerprints are posted, so copies form no pairs. A long posting l
 are split into chunks, and each pair of chunks is a task's own group of bounded size. Each group returns a spanning
 forest of its links (fewer edges than members), which keeps every connection. Components come from alternating
 large-star and small-star steps over a table in the shared folder.
+
+Groups of documents of a similarity (similar_groups) are searched with the same index at a wider radius, where it posts
+byte pairs; its edges are verified on whole shingle sets. Fingerprints guarantee no similarity, so prefix filtering then
+finds the links that the index left out.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,10 +38,15 @@ SEED = 42
 CHUNK = 1024
 #: Similar documents: shingles of this many words, and tenths of the Jaccard similarity of their sets.
 SIMILAR_WORDS, SIMILAR_TENTHS = 5, 8
+#: Their fingerprints are met with two equal positional bytes and differ in at most so many bits (seen: 99 of 100 pairs do, 50 of 100 in 10).
+SIMILAR_AGREE, SIMILAR_RADIUS = 2, 14
 #: Texts of the sample that tells common shingles, about, and the most that are told.
 SAMPLE, COMMON = 10_000, 200_000
 #: Turns in which a posting list's members meet its hubs alone, before all pairs of different components do; hubs of a turn.
-HUB_TURNS, HUBS = 2, 4
+HUB_TURNS, HUBS = 1, 4
+#: Posting lists of so many members at most are compared all at once.
+SHORT = 64
+_PAIRS = list(combinations(range(8), 2))
 _TRIPLES = [tuple(base + p for p in range(4) if p != out) for base in (0, 4) for out in range(4)]
 
 
@@ -59,7 +70,11 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
 
     Fewer words than a shingle has: the whole sequence is one; none (null and empty texts): 0.
     """
-    h = _hashes(text, width)
+    return _simhash(_hashes(text, width))
+
+
+def _simhash(h: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes; no hash: 0."""
     if len(h) < 2:
         return int(h[0]) if len(h) else 0
     ones = np.zeros(64, np.int64)
@@ -77,8 +92,8 @@ def add_fingerprints(df: DataFrame, text_col: str = "text", width: int = SHINGLE
     return append_columns(df, text_col, [T.StructField(out_col, T.LongType())], make)
 
 
-def forest(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the links among fps (between the sides, where side is given)."""
+def forest(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, agree: int = 8 - RADIUS) -> list[tuple[int, int]]:
+    """Index pairs of a spanning forest of the links among fps that agree in so many bytes (between the sides, where side is given)."""
     n = len(fps)
     if n == 2 and side is None:
         return [(0, 1)] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
@@ -91,7 +106,7 @@ def forest(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS) -> li
         tally = np.zeros((len(rows), len(right)), np.uint8)
         for p in range(8):
             tally += octets[rows, p][:, None] == octets[right, p][None, :]
-        r, c = np.nonzero(tally >= 8 - radius)
+        r, c = np.nonzero(tally >= agree)
         near = np.bitwise_count(fps[rows[r]] ^ fps[right[c]]) <= radius
         r, c = rows[r[near]], right[c[near]]
         at = np.searchsorted(r, rows, side="left").tolist() + [len(r)]
@@ -105,12 +120,39 @@ def forest(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS) -> li
     return out
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): edges that connect exactly what links of at most radius (3) bits among distinct fingerprints (fp) connect."""
-    if radius > 3:
+def _short_lists(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, agree: int) -> list[tuple[int, int]]:
+    """Index pairs that connect what the links within each of these short lists of fps connect, at most one a member."""
+    if not len(starts) or sizes.max() < 2:
+        return []
+    at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends, owner = np.repeat(starts + sizes, sizes), np.repeat(np.arange(len(starts)), sizes)
+    octets, found = fps.view(np.uint8).reshape(-1, 8), []
+    for step in range(1, int(sizes.max())):
+        inside = at + step < ends
+        at, ends, owner = at[inside], ends[inside], owner[inside]
+        met = (octets[at] == octets[at + step]).sum(axis=1) >= agree
+        met[met] = np.bitwise_count(fps[at[met]] ^ fps[at[met] + step]) <= radius
+        found.append((owner[met], at[met], at[met] + step))
+    owner, x, y = (np.concatenate([f[k] for f in found]) for k in range(3))
+    dense = np.bincount(owner, minlength=len(starts)) >= sizes
+    out = list(zip(x[~dense[owner]].tolist(), y[~dense[owner]].tolist()))
+    for lo, n in zip(starts[dense].tolist(), sizes[dense].tolist()):
+        out += [(lo + i, lo + j) for i, j in forest(fps[lo : lo + n], None, radius, agree)]
+    return out
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, agree: int | None = None) -> DataFrame:
+    """(a, b): edges that connect exactly what links of at most radius (3) bits among distinct fingerprints (fp) connect.
+
+    With agree (2 at least) links are those of fingerprints that also have so many equal positional bytes, at any radius.
+    """
+    if agree is None and radius > 3:
         raise ValueError("the index guarantees a radius of three bits at most")
+    if agree is not None and agree < 2:
+        raise ValueError("the index meets fingerprints of two equal positional bytes at least")
+    agree, places = (8 - radius, _TRIPLES) if agree is None else (agree, _PAIRS)
     octet = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
-    keys = [F.lit(f << 24).cast("long") + octet(t[0]) * 65536 + octet(t[1]) * 256 + octet(t[2]) for f, t in enumerate(_TRIPLES)]
+    keys = [F.lit(f << 24).cast("long") + sum(octet(p) * (1 << 8 * k) for k, p in enumerate(reversed(t))) for f, t in enumerate(places)]
     postings = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     lengths = postings.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = postings.join(lengths, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("long"))
@@ -135,10 +177,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield _edges(carry, [0, len(carry["key"])])
 
     def _edges(cur, cuts):
-        fps, out = np.ascontiguousarray(cur["fp"]).view(np.uint64), []
-        for a, b in zip(cuts, cuts[1:]):
+        fps, cuts = np.ascontiguousarray(cur["fp"]).view(np.uint64), np.array(cuts, np.int64)
+        starts, sizes = cuts[:-1], np.diff(cuts)
+        short = (sizes <= SHORT) & (cur["i"][starts] == cur["j"][starts])
+        out = _short_lists(fps, starts[short], sizes[short], radius, agree)
+        for a, b in zip(starts[~short].tolist(), cuts[1:][~short].tolist()):
             side = cur["side"][a:b] if cur["i"][a] != cur["j"][a] else None
-            out += [(a + x, a + y) for x, y in forest(fps[a:b], side, radius)]
+            out += [(a + x, a + y) for x, y in forest(fps[a:b], side, radius, agree)]
         at = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(cur["fp"][at[:, k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -247,20 +292,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _near_keys(sets: DataFrame) -> DataFrame:
+    """(a, b): keys of sets that the index of their fingerprints connects, and keys of equal fingerprints."""
+    first = sets.groupBy("fp").agg(F.min("key").alias("least"))
+    edges = links(first.select("fp"), SIMILAR_RADIUS, SIMILAR_AGREE).distinct()
+    for side in "ab":
+        edges = edges.withColumnRenamed(side, "fp").join(first, "fp").drop("fp").withColumnRenamed("least", side)
+    equal = sets.join(first, "fp").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
+    return edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(equal).distinct()
+
+
 def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links of keys of sets (key, n, prefix, sketch, th) that connect what all pairs of similarity 0.8 or more connect.
-
-    Prefix filtering, exact: in one fixed order, common shingles last, two such sets share one of each other's first
-    n - ceil(0.8 n) + 1 shingles, and what follows the first shared one leaves room for the rest. Twice each posting
-    list's hubs, members picked by hashes, are compared with the members of other components, so a large group of near
-    copies costs a pair a member; then, in the lists that still hold several components, all pairs of different ones
-    are. Long lists are dealt out in pairs of chunks. All candidates are verified on the whole sets of their texts
-    (texts: text, th).
+    """(a, b): links of keys of sets (key, n, prefix, sketch, fp, th) that connect what all pairs of similarity 0.8 or more connect.
+
+    First the byte-position index of the fingerprints is searched with its count filter and Hamming check, a spanning
+    forest a posting list, and its edges are verified on the whole sets of their texts (texts: text, th).
+
+    What it left out is found by prefix filtering, exact: in one fixed order, common shingles last, two such sets share
+    one of each other's first n - ceil(0.8 n) + 1 shingles, and what follows the first shared one leaves room for the
+    rest. Each posting list's hubs, members picked by hashes, are compared with the members of other components, so a
+    member costs a few pairs; then, in the lists that still hold several components, all pairs of different ones are.
+    Long lists are dealt out in pairs of chunks. All candidates are verified alike.
     """
+    judged = written(_near_keys(sets), "near")
+    found = _verified(judged, sets, texts)
+    label = components(found).withColumnsRenamed({"node": "key", "root": "label"})
     postings = sets.select("key", "n", F.posexplode("prefix").alias("pos", "x"))
     shared = postings.groupBy("x").agg(F.count("*").alias("held")).filter("held > 1")
     met = written(postings.join(shared, "x"), "postings")
-    found = label = judged = None
     for turn in range(HUB_TURNS):
         rows = _labelled(met, label)
         hub = lambda k: F.min(F.struct(F.xxhash64("key", F.lit(HUBS * turn + k)).alias("h"), F.col("key").alias("key_h"), F.col("n").alias("n_h"), F.col("pos").alias("pos_h"), F.col("label").alias("label_h")))  # noqa: B023, E731
@@ -268,9 +327,8 @@ def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
         open_ = open_.filter("least <> most").select("x", F.explode("hubs").alias("hub")).select("x", "hub.*")
         pairs = rows.withColumnsRenamed({"n": "n_m", "pos": "pos_m"}).join(open_, "x").filter((F.col("label") != F.col("label_h")) & _fits("m", "h"))
         pairs = pairs.select(F.least("key", "key_h").alias("a"), F.greatest("key", "key_h").alias("b")).distinct()
-        pairs = written(pairs if judged is None else pairs.join(judged, ["a", "b"], "left_anti"), "hubs")
-        links = _verified(pairs, sets, texts)
-        judged, found = (pairs, links) if judged is None else (judged.unionByName(pairs), found.unionByName(links))
+        pairs = written(pairs.join(judged, ["a", "b"], "left_anti"), "hubs")
+        judged, found = judged.unionByName(pairs), found.unionByName(_verified(pairs, sets, texts))
         label = components(found).withColumnsRenamed({"node": "key", "root": "label"})
     rows = _labelled(met, label)
     still = rows.groupBy("x").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("x")
@@ -283,10 +341,8 @@ def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
     return found.unionByName(_verified(rest, sets, texts))
 
 
-def _labelled(met: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Postings with the component of their key; before the first links each key is its own."""
-    if label is None:
-        return met.withColumn("label", F.col("key"))
+def _labelled(met: DataFrame, label: DataFrame) -> DataFrame:
+    """Postings with the component of their key; a key without links is its own."""
     return met.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
@@ -298,14 +354,14 @@ def _set_key(s: np.ndarray) -> int:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (hash of the text) and root of every row: rows of one root are linked by similarities of 0.8 or more.
 
-    The similarity is the Jaccard of the sets of five-word shingles; no pair is missed. Null and empty texts are one
+    The similarity is the Jaccard of the sets of five-word shingles, and the fingerprints are of these sets; no pair is missed. Null and empty texts are one
     group, a null id is grouped by its text, repeated rows come back as often as they came in.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
     common = _common_shingles(texts)
 
     def make(part):
-        keys, sizes, prefixes, sketches = [], [], [], []
+        keys, sizes, prefixes, sketches, fps = [], [], [], [], []
         for t in part.column("text").to_pylist():
             s = shingle_set(t)
             n = len(s)
@@ -314,11 +370,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sizes.append(n)
             prefixes.append(np.concatenate([s[~often], s[often]])[: n + (-SIMILAR_TENTHS * n // 10) + 1 if n else 0].view(np.int64))
             sketches.append(sketch(s))
-        return keys, sizes, prefixes, sketches
+            fps.append(_simhash(s))
+        return keys, sizes, prefixes, sketches, np.array(fps, np.uint64).view(np.int64)
 
-    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+    fields = [T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType()), T.StructField("fp", T.LongType())]
     rows = written(append_columns(texts, "text", fields, make).drop("text"), "prefixes")
-    sets = rows.groupBy("key").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("th").alias("th"))
+    sets = rows.groupBy("key").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp"), F.min("th").alias("th"))
     stars = components(similar_links(written(sets, "distinct-sets"), texts))
     roots = stars.select(F.col("node").alias("key"), "root").union(stars.select(F.col("root").alias("key"), "root").distinct())
     return rows.select("doc_id", "th", "key").join(roots, "key", "left").select("doc_id", "th", F.coalesce("root", "key").alias("root"))

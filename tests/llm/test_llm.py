@@ -329,6 +329,37 @@ def test_similar_groups_match_brute_force(spark, docs, monkeypatch):
     assert neardup.similar_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk, short", [(1024, 64), (16, 64), (1024, 4)])
+def test_index_of_byte_pairs_matches_brute_force(spark, monkeypatch, chunk, short):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "SHORT", short)
+    rng = random.Random(14)
+    bases = [rng.getrandbits(64) for _ in range(40)]
+    prints = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 18))) for b in bases for _ in range(3)} | {bases[0] ^ sum(1 << k for k in rng.sample(range(64), 6)) for _ in range(90)})
+    near = lambda x, y: (x ^ y).bit_count() <= 14 and sum((x ^ y) >> 8 * k & 255 == 0 for k in range(8)) >= 2
+
+    def joined(pairs):
+        label = {p: p for p in prints}
+        for x, y in pairs:
+            a, b = sorted((label[x], label[y]))
+            label = {k: a if v == b else v for k, v in label.items()}
+        return label
+
+    got = [(e.a % (1 << 64), e.b % (1 << 64)) for e in neardup.links(spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long"), 14, 2).collect()]
+    assert all(near(x, y) for x, y in got) and joined(got) == joined((x, y) for x in prints for y in prints if x < y and near(x, y))
+
+
+def test_pipeline_near_dedup_links_by_the_byte_index(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "_fits", lambda a, b: F.lit(False))  # prefix filtering finds nothing
+    rng = random.Random(15)
+    bases = [prose(rng, 200) for _ in range(5)]
+    rows = [(100 * k + n, edited_words(rng, b, n % 3)) for k, b in enumerate(bases) for n in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()) == [0, 100, 200, 300, 400]
+
+
 def test_pipeline_near_dedup_takes_edited_copies(spark):
     import corpus_pipeline
 
