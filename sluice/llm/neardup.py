@@ -40,10 +40,10 @@ CHUNK = 1024
 SIMILAR_WORDS, SIMILAR_TENTHS = 5, 8
 #: Their fingerprints are met with two equal positional bytes and differ in at most so many bits (seen: 99 of 100 pairs do, 50 of 100 in 10).
 SIMILAR_AGREE, SIMILAR_RADIUS = 2, 14
-#: Texts of the sample that tells common shingles, about, and the most that are told.
-SAMPLE, COMMON = 10_000, 200_000
-#: Turns in which a posting list's members meet its hubs alone, before all pairs of different components do; hubs of a turn.
-HUB_TURNS, HUBS = 1, 4
+#: Texts of the sample that tells common shingles, about, or this share of all if that is more, and the most that are told.
+SAMPLE, SAMPLE_SHARE, COMMON = 10_000, 0.2, 1_000_000
+#: Members of other components, nearest by fingerprints and within so many bits, that a member of a posting list meets before all do.
+NEAREST, NEAREST_RADIUS = 8, 20
 #: Posting lists of so many members at most are compared all at once.
 SHORT = 64
 _PAIRS = list(combinations(range(8), 2))
@@ -120,10 +120,10 @@ def forest(fps: np.ndarray, side: np.ndarray | None, radius: int = RADIUS, agree
     return out
 
 
-def _short_lists(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, agree: int) -> list[tuple[int, int]]:
-    """Index pairs that connect what the links within each of these short lists of fps connect, at most one a member."""
+def _short_lists(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, agree: int, label: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Index pairs of links within each of these short lists of fps (of different labels), and which lists are left out: of as many pairs as members."""
     if not len(starts) or sizes.max() < 2:
-        return []
+        return [], np.zeros(len(starts), bool)
     at = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     ends, owner = np.repeat(starts + sizes, sizes), np.repeat(np.arange(len(starts)), sizes)
     octets, found = fps.view(np.uint8).reshape(-1, 8), []
@@ -131,14 +131,13 @@ def _short_lists(fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius:
         inside = at + step < ends
         at, ends, owner = at[inside], ends[inside], owner[inside]
         met = (octets[at] == octets[at + step]).sum(axis=1) >= agree
+        if label is not None:
+            met &= label[at] != label[at + step]
         met[met] = np.bitwise_count(fps[at[met]] ^ fps[at[met] + step]) <= radius
         found.append((owner[met], at[met], at[met] + step))
     owner, x, y = (np.concatenate([f[k] for f in found]) for k in range(3))
     dense = np.bincount(owner, minlength=len(starts)) >= sizes
-    out = list(zip(x[~dense[owner]].tolist(), y[~dense[owner]].tolist()))
-    for lo, n in zip(starts[dense].tolist(), sizes[dense].tolist()):
-        out += [(lo + i, lo + j) for i, j in forest(fps[lo : lo + n], None, radius, agree)]
-    return out
+    return list(zip(x[~dense[owner]].tolist(), y[~dense[owner]].tolist())), dense
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, agree: int | None = None) -> DataFrame:
@@ -161,33 +160,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, agree: int | None = None) -
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "fp")
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
 
-    def run(batches):
-        carry = None
-        for batch in batches:
-            cur = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "fp")}
-            if carry is not None:
-                cur = {c: np.concatenate([carry[c], v]) for c, v in cur.items()}
-            if not len(cur["key"]):
-                continue
-            new = np.flatnonzero((np.diff(cur["key"]) != 0) | (np.diff(cur["i"]) != 0) | (np.diff(cur["j"]) != 0)) + 1
-            last = int(new[-1]) if len(new) else 0
-            yield _edges({c: v[:last] for c, v in cur.items()}, [0, *new[:-1].tolist(), last] if last else [0])
-            carry = {c: v[last:] for c, v in cur.items()}
-        if carry is not None:
-            yield _edges(carry, [0, len(carry["key"])])
-
     def _edges(cur, cuts):
         fps, cuts = np.ascontiguousarray(cur["fp"]).view(np.uint64), np.array(cuts, np.int64)
         starts, sizes = cuts[:-1], np.diff(cuts)
         short = (sizes <= SHORT) & (cur["i"][starts] == cur["j"][starts])
-        out = _short_lists(fps, starts[short], sizes[short], radius, agree)
+        out, dense = _short_lists(fps, starts[short], sizes[short], radius, agree)
+        short[short] = ~dense
         for a, b in zip(starts[~short].tolist(), cuts[1:][~short].tolist()):
             side = cur["side"][a:b] if cur["i"][a] != cur["j"][a] else None
             out += [(a + x, a + y) for x, y in forest(fps[a:b], side, radius, agree)]
         at = np.array(out, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(cur["fp"][at[:, k]], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lambda batches: _by_list(batches, ("key", "i", "j"), _edges), "a long, b long")
+
+
+def _by_list(batches, names: tuple[str, ...], judge):
+    """judge(columns, cuts) of whole lists: neighbouring rows equal in these columns, the first one first."""
+    carry = None
+    for batch in batches:
+        cur = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if carry is not None:
+            cur = {c: np.concatenate([carry[c], v]) for c, v in cur.items()}
+        if not len(cur[names[0]]):
+            continue
+        new = np.flatnonzero(np.any([np.diff(cur[c]) != 0 for c in names], axis=0)) + 1
+        last = int(new[-1]) if len(new) else 0
+        yield judge({c: v[:last] for c, v in cur.items()}, [0, *new[:-1].tolist(), last] if last else [0])
+        carry = {c: v[last:] for c, v in cur.items()}
+    if carry is not None:
+        yield judge(carry, [0, len(carry[names[0]])])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS) -> DataFrame:
@@ -213,7 +215,7 @@ def shingle_set(text: str | None, width: int = SIMILAR_WORDS) -> np.ndarray:
 
 def _common_shingles(texts: DataFrame) -> np.ndarray:
     """Shingles of three or more distinct texts of a sample; they only set an order, so a miss costs time and no pair."""
-    share = min(1.0, SAMPLE / max(1, texts.count()))
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE / max(1, texts.count())))
     spot = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(1 << 20)) < F.lit(share * (1 << 20))
     sample = texts.select("text").filter(spot).distinct()
 
@@ -310,40 +312,67 @@ def similar_links(sets: DataFrame, texts: DataFrame) -> DataFrame:
 
     What it left out is found by prefix filtering, exact: in one fixed order, common shingles last, two such sets share
     one of each other's first n - ceil(0.8 n) + 1 shingles, and what follows the first shared one leaves room for the
-    rest. Each posting list's hubs, members picked by hashes, are compared with the members of other components, so a
-    member costs a few pairs; then, in the lists that still hold several components, all pairs of different ones are.
-    Long lists are dealt out in pairs of chunks. All candidates are verified alike.
+    rest. In the posting lists that hold several components a member is first compared with those of other components
+    whose fingerprints are nearest, so it costs a few pairs; then, in the lists that still hold several, all pairs of
+    different ones are. Long lists are dealt out in pairs of chunks. All candidates are verified alike.
     """
     judged = written(_near_keys(sets), "near")
     found = _verified(judged, sets, texts)
     label = components(found).withColumnsRenamed({"node": "key", "root": "label"})
-    postings = sets.select("key", "n", F.posexplode("prefix").alias("pos", "x"))
+    postings = sets.select("key", "n", "fp", F.posexplode("prefix").alias("pos", "x"))
     shared = postings.groupBy("x").agg(F.count("*").alias("held")).filter("held > 1")
     met = written(postings.join(shared, "x"), "postings")
-    for turn in range(HUB_TURNS):
-        rows = _labelled(met, label)
-        hub = lambda k: F.min(F.struct(F.xxhash64("key", F.lit(HUBS * turn + k)).alias("h"), F.col("key").alias("key_h"), F.col("n").alias("n_h"), F.col("pos").alias("pos_h"), F.col("label").alias("label_h")))  # noqa: B023, E731
-        open_ = rows.groupBy("x").agg(F.array_distinct(F.array(*map(hub, range(HUBS)))).alias("hubs"), F.min("label").alias("least"), F.max("label").alias("most"))
-        open_ = open_.filter("least <> most").select("x", F.explode("hubs").alias("hub")).select("x", "hub.*")
-        pairs = rows.withColumnsRenamed({"n": "n_m", "pos": "pos_m"}).join(open_, "x").filter((F.col("label") != F.col("label_h")) & _fits("m", "h"))
-        pairs = pairs.select(F.least("key", "key_h").alias("a"), F.greatest("key", "key_h").alias("b")).distinct()
-        pairs = written(pairs.join(judged, ["a", "b"], "left_anti"), "hubs")
-        judged, found = judged.unionByName(pairs), found.unionByName(_verified(pairs, sets, texts))
-        label = components(found).withColumnsRenamed({"node": "key", "root": "label"})
-    rows = _labelled(met, label)
-    still = rows.groupBy("x").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("x")
-    rows = rows.join(still, "x").withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("long")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "key", "n", "pos", "label")
+    nearest = _nearest_pairs(_open_lists(met, label)).distinct()
+    nearest = written(nearest.join(judged, ["a", "b"], "left_anti"), "nearest")
+    judged, found = judged.unionByName(nearest), found.unionByName(_verified(nearest, sets, texts))
+    rows = _open_lists(met, components(found).withColumnsRenamed({"node": "key", "root": "label"})).drop("fp")
     a, b = (rows.withColumnsRenamed({"key": k, **{c: f"{c}_{k}" for c in ("n", "pos", "side", "label")}}) for k in "ab")
     apart = (F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("side_a") != F.col("side_b"))) & (F.col("label_a") != F.col("label_b")) & _fits("a", "b")
     rest = written(a.join(b, ["x", "i", "j"]).filter(apart).select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), "candidates")
     return found.unionByName(_verified(rest, sets, texts))
 
 
-def _labelled(met: DataFrame, label: DataFrame) -> DataFrame:
-    """Postings with the component of their key; a key without links is its own."""
-    return met.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+def _open_lists(met: DataFrame, label: DataFrame) -> DataFrame:
+    """Postings of the lists that hold several components, with the component of their key (its own without links), dealt out in pairs of chunks."""
+    rows = met.join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    still = rows.groupBy("x").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("x")
+    rows = rows.join(still, "x").withColumn("chunks", F.ceil(F.col("held") / CHUNK).cast("long")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("chunks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return rows.select("x", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "key", "n", "pos", "label", "fp")
+
+
+def nearest_others(fps: np.ndarray, label: np.ndarray, side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Index pairs: each member, but those of the most frequent label, with its nearest few of other labels (and of the other side)."""
+    _, at, counts = np.unique(label, return_inverse=True, return_counts=True)
+    few, out = np.flatnonzero(at != counts.argmax()), []
+    for lo in range(0, len(few), 256):
+        r = few[lo : lo + 256]
+        far = np.bitwise_count(fps[r][:, None] ^ fps[None, :])
+        far[at[r][:, None] == at[None, :]] = 255
+        if side is not None:
+            far[side[r][:, None] == side[None, :]] = 255
+        for i, row in zip(r.tolist(), far):
+            c = np.argpartition(row, NEAREST)[:NEAREST] if len(row) > NEAREST else np.arange(len(row))
+            out += [(i, int(k)) for k in c[row[c] <= NEAREST_RADIUS]]
+    return out
+
+
+def _nearest_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): keys of different components in one of these lists, near by fingerprints; in lists of many such pairs the nearest few of a member."""
+
+    def pairs(cur, cuts):
+        fps, cuts = np.ascontiguousarray(cur["fp"]).view(np.uint64), np.array(cuts, np.int64)
+        starts, sizes = cuts[:-1], np.diff(cuts)
+        short = (sizes <= SHORT) & (cur["i"][starts] == cur["j"][starts])
+        out, dense = _short_lists(fps, starts[short], sizes[short], NEAREST_RADIUS, 0, cur["label"])
+        short[short] = ~dense
+        for a, b in zip(starts[~short].tolist(), cuts[1:][~short].tolist()):
+            out += [(a + x, a + y) for x, y in nearest_others(fps[a:b], cur["label"][a:b], cur["side"][a:b] if cur["i"][a] != cur["j"][a] else None)]
+        at = cur["key"][np.array(out, np.int64).reshape(-1, 2)]
+        return pa.RecordBatch.from_arrays([pa.array(at.min(axis=1), pa.int64()), pa.array(at.max(axis=1), pa.int64())], names=["a", "b"])
+
+    dealt = rows.select("x", "i", "j", "side", "key", "label", "fp").repartition("x", "i", "j").sortWithinPartitions("x", "i", "j")
+    return dealt.mapInArrow(lambda batches: _by_list(batches, ("x", "i", "j"), pairs), "a long, b long")
 
 
 def _set_key(s: np.ndarray) -> int:

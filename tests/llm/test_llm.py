@@ -360,6 +360,20 @@ def test_pipeline_near_dedup_links_by_the_byte_index(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()) == [0, 100, 200, 300, 400]
 
 
+def test_pipeline_members_meet_the_nearest_of_other_components():
+    rng = random.Random(16)
+    base = rng.getrandbits(64)
+    prints = np.array([base ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 14))) for _ in range(300)], np.uint64)
+    label = np.array([0] * 280 + [1, 1] + list(range(2, 20)))
+    for side in (None, np.arange(300) % 2):
+        got = neardup.nearest_others(prints, label, side)
+        assert len(got) <= neardup.NEAREST * 20  # not a pair for each member of the large component
+        for i in range(280, 300):
+            far = sorted(d for j in range(300) if label[j] != label[i] and (side is None or side[j] != side[i]) and (d := int(prints[i] ^ prints[j]).bit_count()) <= neardup.NEAREST_RADIUS)
+            mine = [(label[y], int(prints[x] ^ prints[y]).bit_count()) for x, y in got if x == i]
+            assert sorted(d for _, d in mine) == far[: neardup.NEAREST] and all(k != label[i] for k, _ in mine)
+
+
 def test_pipeline_near_dedup_takes_edited_copies(spark):
     import corpus_pipeline
 
