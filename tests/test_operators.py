@@ -168,3 +168,48 @@ def test_greedy_window_dedup_reads_documents_past_its_window(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {r.seq: r.kept for r in registry.greedy_window_dedup(spark, f"file://{tmp_path}").collect()}
     assert [i for i in range(260) if not got[i]] == [230]
+
+
+def embeddings(spark, x, ids=None):
+    return spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids if ids is not None else range(len(x)), x)], "vec_id long, embedding array<float>").repartition(3)
+
+
+def walked(sim, threshold):
+    pairs = sorted((-round(float(sim[i, j]), 12), i, j) for i in range(len(sim)) for j in range(i + 1, len(sim)) if sim[i, j] >= threshold)
+    gone = set()
+    for _, i, j in pairs:
+        if i not in gone and j not in gone:
+            gone.add(j)
+    return sorted(gone)
+
+
+def cosines(x):
+    u = np.asarray(x, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    return u @ u.T
+
+
+def test_greedy_rounds_over_vectors_match_the_walk_and_list_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    x = np.random.default_rng(4).standard_normal((90, 5))
+    x[60:75] = x[3]  # copies: one kills all
+    df = embeddings(spark, x)
+    got = dedup.greedy_rounds(lambda asked, gone: similarity.threats(df, 0.5, asked, gone))
+    assert sorted(r.id for r in got.collect()) == walked(cosines(x), 0.5)
+
+
+def test_greedy_drops_work_through_chains_across_tasks(spark):
+    rng = np.random.default_rng(6)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 60, (300, 2)) if a < b})
+    rows = [(a, b, float(rng.integers(90, 100)) / 100) for a, b in pairs]
+    gone = set()
+    for a, b, _ in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if a not in gone and b not in gone:
+            gone.add(b)
+    got = dedup.greedy_drops(spark.createDataFrame(rows, "id_a long, id_b long, similarity double"), 0.92)
+    want = set()
+    for a, b, s in sorted(rows, key=lambda r: (-r[2], r[0], r[1])):
+        if s >= 0.92 and a not in want and b not in want:
+            want.add(b)
+    assert sorted(r.id for r in got.collect()) == sorted(want)
