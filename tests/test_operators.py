@@ -213,3 +213,24 @@ def test_greedy_drops_work_through_chains_across_tasks(spark):
         if s >= 0.92 and a not in want and b not in want:
             want.add(b)
     assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_reconcile_takes_every_pair_and_lists_none(spark, tmp_path, monkeypatch):
+    from sluice.plans import registry
+
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    rng = np.random.default_rng(8)
+    x, labels = rng.standard_normal((300, 24)), rng.integers(0, 10, 300)
+    spark.createDataFrame([(i, [float(v) for v in r], int(k)) for i, (r, k) in enumerate(zip(x, labels))], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    sim, gone = cosines(x), set()
+    for a in range(300):
+        for b in range(a + 1, 300):
+            if sim[a, b] >= 0.2 and labels[a] != labels[b]:
+                ta, tb, about = labels[a] % 3, labels[b] % 3, a % 200 == 0
+                if {ta, tb} == {1, 2}:
+                    gone.add(a if about and ta == 1 else b)
+                elif not about and b % 2 == 0:
+                    gone.add(b)
+    got = {r.id for r in registry.reconcile_cross_label(spark, f"file://{tmp_path}").collect()}
+    assert got == set(range(300)) - gone and 0 < len(got) < 300
