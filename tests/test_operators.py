@@ -234,3 +234,19 @@ def test_reconcile_takes_every_pair_and_lists_none(spark, tmp_path, monkeypatch)
                     gone.add(b)
     got = {r.id for r in registry.reconcile_cross_label(spark, f"file://{tmp_path}").collect()}
     assert got == set(range(300)) - gone and 0 < len(got) < 300
+
+
+def test_link_forest_returns_about_an_edge_a_vector(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 50)
+    x = np.random.default_rng(9).standard_normal((200, 5))
+    df, sim = embeddings(spark, x), cosines(x)
+    edges = similarity.link_forest(df, 0.4).collect()
+    root = list(range(200))
+    for a, b in zip(*np.nonzero(np.triu(sim >= 0.4, 1))):
+        root = [root[a] if r == root[b] else r for r in root]
+    groups = len(set(root))
+    mine = list(range(200))
+    for a, b in edges:
+        assert sim[a, b] >= 0.4
+        mine = [mine[a] if r == mine[b] else r for r in mine]
+    assert [mine.index(r) for r in mine] == [root.index(r) for r in root] and 200 - groups <= len(edges) < 320
