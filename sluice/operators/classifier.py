@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sluice.functions.text import TokenizerOptions, argmax3, softmax3, tokenize
+from sluice.functions.text import TokenizerOptions, argmax3, softmax3, token_counter
 from sluice.operators import features, linear
 
 # Stems that mark the hardest tier.
@@ -61,34 +64,58 @@ class TierClassifier:
         self.options, self.thresholds, self.vocab, self.weights, self.bias = options, thresholds, None, None, None
 
     def fit(self, df: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "tier", max_vocab: int = 15000, min_df: int = 2, lr: float = 0.5, l2: float = 1e-5, epochs: int = 1) -> TierClassifier:
-        rows = df.select(F.col(id_col).alias("id"), tokenize(F.col(text_col), self.options).alias("tokens"), F.col(label_col).cast("int").alias("tier")).filter("tier between 0 and 2")
-        counts = features.term_counts(rows, "id", "tokens")
-        self.vocab = features.with_idf(features.vocabulary(counts, max_vocab, min_df), rows.count())
-        x = features.tfidf(counts, self.vocab, "id")
+        rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("tier")).filter("tier between 0 and 2")
+        spark, vocab = df.sparkSession, features.with_idf(features.text_vocabulary(rows, "id", "text", self.options, max_vocab, min_df), rows.count())
+        self.vocab = spark.createDataFrame(vocab.toArrow())
         labels = rows.select("id", "tier")
-        self.weights, self.bias = linear.train_full_batch(x, labels, linear.class_weights(labels), "id", lr, l2, epochs)
+        weights = linear.class_weights(labels)
+        x = features.text_tfidf(rows, "id", self.vocab, "text", self.options, ("tier",))
+        if epochs == 1:
+            self.weights, self.bias = linear.first_step(x, labels, weights, lr)
+        else:
+            self.weights, self.bias = linear.train_full_batch(x.drop("tier"), labels, weights, "id", lr, l2, epochs)
         return self
 
+    def _scored(self, df: DataFrame) -> DataFrame:
+        """df with n_tokens and z0..z2 of its column text, made where a row lies; the model is bounded by its vocabulary."""
+        weigh, options = features.Weigher(self.vocab), self.options
+        w, b = np.zeros((len(weigh.idf), linear.CLASSES)), np.array(self.bias.select("b0", "b1", "b2").first(), float)
+        for r in self.weights.select("idx", "w0", "w1", "w2").collect():
+            w[r.idx] = r.w0, r.w1, r.w2
+        schema = T.StructType([*df.schema, T.StructField("n_tokens", T.IntegerType()), *(T.StructField(f"z{k}", T.DoubleType()) for k in range(linear.CLASSES))])
+        at = df.columns.index("text")
+
+        def run(batches):
+            count = token_counter(options)
+            for whole in batches:
+                for lo in range(0, len(whole), features.STEP):
+                    batch = whole.slice(lo, features.STEP)
+                    counts = [count(t) for t in batch.column(at).to_pylist()]
+                    owner, idx, value = weigh(counts)
+                    z = [b[k] + np.bincount(owner, w[idx, k] * value, len(counts)) for k in range(linear.CLASSES)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([sum(c.values()) for c in counts], pa.int32()), *map(pa.array, z)], names=schema.names)
+
+        return df.mapInArrow(run, schema)
+
     def transform(self, df: DataFrame, id_col: str = "id", text_col: str = "text", session_col: str | None = None) -> DataFrame:
         """id, predicted_tier, p0..p2, confidence of every row; ids are expected to be unique."""
         session = F.col(session_col).cast("int") if session_col else F.lit(None).cast("int")
-        rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), session.alias("session"), tokenize(F.col(text_col), self.options).alias("tokens"))
-        x = features.tfidf(features.term_counts(rows, "id", "tokens"), self.vocab, "id")
-        z = linear.logits(rows, x, self.weights, self.bias, "id")
-        scored = rows.select("id", "text", "session", F.size("tokens").alias("n_tokens")).join(z, "id")
+        scored = self._scored(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), session.alias("session")))
         return decide(scored, "text", "n_tokens", "session", self.thresholds).select("id", "predicted_tier", "p0", "p1", "p2", "confidence")
 
     def transform_chain(self, df: DataFrame, id_col: str, group_col: str, order_col: str, text_col: str = "text") -> DataFrame:
         """id, predicted_tier, confidence of every row, each with the tier of its group's row before as session.
 
-        Each row is decided for no session and for the three; then a group's rows are walked in order, which holds one
-        tier. The order is by order_col (nulls first), then id.
+        Each row is scored once and decided for no session and for the three; then a group's rows are walked in order,
+        which holds one tier. The order is by order_col (nulls first), then id.
         """
-        rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("g"), F.col(order_col).alias("o"), F.col(text_col).alias("text"), F.explode(F.array(*map(F.lit, (-1, 0, 1, 2)))).alias("s"))
-        rows = rows.withColumn("key", F.concat_ws("/", "id", "s")).withColumn("session", F.when(F.col("s") >= 0, F.col("s")))
-        got = self.transform(rows, "key", "text", "session").select(F.col("id").alias("key"), "predicted_tier", "confidence")
-        each = rows.drop("text", "session").join(got, "key").groupBy("id", "g", "o").agg(F.map_from_entries(F.collect_list(F.struct("s", "predicted_tier"))).alias("tiers"), F.map_from_entries(F.collect_list(F.struct("s", "confidence"))).alias("sure"))
-        flat = each.select("id", F.xxhash64("g").alias("h"), "g", "o", F.array(*[F.col("tiers")[k] for k in range(-1, 3)]).alias("t"), F.array(*[F.col("sure")[k] for k in range(-1, 3)]).alias("c"))
+        rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("g"), F.col(order_col).alias("o"), F.col(text_col).alias("text"))
+        each, z = self._scored(rows), [f"z{k}" for k in range(linear.CLASSES)]
+        each = each.withColumnsRenamed({c: f"own_{c}" for c in z})
+        for s in range(-1, linear.CLASSES):
+            each = each.withColumns({c: F.col(f"own_{c}") for c in z} | {"session": F.lit(s if s >= 0 else None).cast("int")})
+            each = decide(each, "text", "n_tokens", "session", self.thresholds).withColumnsRenamed({"predicted_tier": f"t{s + 1}", "confidence": f"c{s + 1}"})
+        flat = each.select("id", F.xxhash64("g").alias("h"), "g", "o", *[F.array(*[f"{c}{k}" for k in range(linear.CLASSES + 1)]).alias(c) for c in "tc"])
 
         def walk(frames):
             group, tier = None, -1

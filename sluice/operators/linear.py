@@ -35,6 +35,16 @@ def gradient_step(features: DataFrame, probs: DataFrame | None, labels: DataFram
     return move, bias
 
 
+def first_step(features: DataFrame, labels: DataFrame, weights: DataFrame, lr: float) -> tuple[DataFrame, DataFrame]:
+    """gradient_step() at zero weights of features that carry their tier: (id, tier, idx, value). Nothing is moved but sums."""
+    err = [F.col("weight") * (F.lit(1.0) / 3 - (F.col("tier") == k).cast("int")) for k in range(CLASSES)]
+    weights = F.broadcast(weights.select("tier", "weight"))
+    n = labels.join(weights, "tier").agg(F.count("*").alias("n"), *[F.sum(e).alias(f"s{k}") for k, e in enumerate(err)])
+    sums = features.join(weights, "tier").groupBy("idx").agg(*[F.sum(e * F.col("value")).alias(f"g{k}") for k, e in enumerate(err)])
+    move = sums.join(F.broadcast(n.select("n"))).select("idx", *[(-lr * F.col(f"g{k}") / F.col("n")).alias(f"w{k}") for k in range(CLASSES)])
+    return move, n.select(*[(-lr * F.col(f"s{k}") / F.col("n")).alias(f"b{k}") for k in range(CLASSES)])
+
+
 def logits(docs: DataFrame, features: DataFrame, weights: DataFrame, bias: DataFrame, id_col: str) -> DataFrame:
     """(id, z0..z2) of every row of docs; one without known tokens has the bias alone."""
     sums = features.join(F.broadcast(weights), "idx").groupBy(id_col).agg(*[F.sum(F.col(f"w{k}") * F.col("value")).alias(f"s{k}") for k in range(CLASSES)])

@@ -65,3 +65,17 @@ def test_labels_and_shingles(spark):
         tx.canonical_label(F.lit("[[TIER_2_REFACTOR]")).alias("a"), tx.encode_tier(F.lit("2")).alias("b"), tx.encode_tier(F.lit("x")).alias("c"), tx.decode_tier(F.lit(None).cast("int")).alias("d"),
         tx.shingles(F.lit("A b")).alias("e"), tx.shingles(F.lit("")).alias("f"), tx.jaccard(tx.shingles(F.lit("a b c d")), tx.shingles(F.lit("a b c e"))).alias("g"), tx.jaccard(tx.shingles(F.lit("")), tx.shingles(F.lit("a"))).alias("h")).first()
     assert (row.a, row.b, row.c, row.d, row.e, row.f, row.h) == ("TIER_2_MEDIUM", 2, None, "UNKNOWN", ["a b"], [], 0.0) and abs(row.g - 1 / 3) < 1e-12
+
+
+@pytest.mark.parametrize("options", [TokenizerOptions(), TokenizerOptions(lowercase=False), TokenizerOptions(preserve_operators=False), TokenizerOptions(split_camel_case=False, ngram_min=2, ngram_max=3), TokenizerOptions(ngram_max=2)])
+def test_token_counter_counts_what_tokenize_gives(spark, options):
+    from collections import Counter
+
+    from sluice.functions.text import token_counter, tokenize
+    from sluice.plans.registry import PHRASES
+
+    texts = [*PHRASES, None, "", "::a::B_c__D::", "_ __ _A a_ A::b::C", "Straße naïve ÉCOLE_x a.b 1.2.3e5x", "theThe THE_the The::the", "x\x01Y a\nb", "İstanbul I_İ"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    count = token_counter(options)
+    for r in rows.select("id", tokenize(F.col("text"), options).alias("t")).collect():
+        assert count(texts[r.id]) == Counter(r.t), texts[r.id]
