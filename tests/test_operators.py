@@ -258,3 +258,16 @@ def test_csv_gives_back_every_text(spark, tmp_path):
     files.write_csv(spark.createDataFrame(rows, "id string, text string").repartition(2), f"file://{tmp_path}/c")
     got = [(r.id, r.text) for r in files.read_csv(spark, f"file://{tmp_path}/c", "id string, text string").collect()]
     assert sorted(got, key=repr) == sorted(rows, key=repr)
+
+
+def test_percentiles_and_counts_hold_with_equal_and_borderline_cosines(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    monkeypatch.setattr(similarity, "_each_block", None)
+    x = np.random.default_rng(12).standard_normal((120, 6))
+    x[40:60] = x[0]
+    every = cosines(x)[np.triu_indices(120, 1)]
+    points = (0.0, 1.0, 50.0, 99.0, 100.0)
+    found = {r.percentile: r.similarity for r in similarity.all_percentiles(embeddings(spark, x), points).collect()}
+    assert all(abs(found[p] - np.percentile(every, p)) < 1e-12 for p in points)
+    t = float(np.sort(every)[3000]) - 1e-12
+    assert [r.n for r in similarity.all_threshold_counts(embeddings(spark, x), (t,)).collect()] == [int((every >= t).sum())]
