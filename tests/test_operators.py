@@ -271,3 +271,11 @@ def test_percentiles_and_counts_hold_with_equal_and_borderline_cosines(spark, mo
     assert all(abs(found[p] - np.percentile(every, p)) < 1e-12 for p in points)
     t = float(np.sort(every)[3000]) - 1e-12
     assert [r.n for r in similarity.all_threshold_counts(embeddings(spark, x), (t,)).collect()] == [int((every >= t).sum())]
+
+
+def test_search_holds_a_slice_of_its_queries(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SLICE", 3)
+    x = np.random.default_rng(13).standard_normal((50, 6))
+    got = {(r.query_id, r["rank"]): r.id for r in similarity.search(embeddings(spark, x), embeddings(spark, x).filter("vec_id < 11"), top_k=4).collect()}
+    sim = cosines(x)
+    assert all([got[i, k] for k in range(1, 5)] == [j for j in np.argsort(-sim[i]) if j != i][:4] for i in range(11)) and len(got) == 44
