@@ -279,3 +279,28 @@ def test_search_holds_a_slice_of_its_queries(spark, monkeypatch):
     got = {(r.query_id, r["rank"]): r.id for r in similarity.search(embeddings(spark, x), embeddings(spark, x).filter("vec_id < 11"), top_k=4).collect()}
     sim = cosines(x)
     assert all([got[i, k] for k in range(1, 5)] == [j for j in np.argsort(-sim[i]) if j != i][:4] for i in range(11)) and len(got) == 44
+
+
+def test_window_dedup_walks_only_rows_that_can_be_similar(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 400, rng.integers(1, 30))) for _ in range(150)]
+    for i in range(40, 150, 3):
+        words = texts[int(rng.integers(max(0, i - 30), i))].split()
+        words[int(rng.integers(0, len(words)))] = "changed"
+        texts[i] = " ".join(words)
+    texts[5], texts[6], texts[7], texts[70] = None, "", "  A\tb ", "a B"
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+    kept, want = [], []
+    for s in sets:
+        near = any(s and t and len(s & t) / len(s | t) > 0.5 for t in kept[-20:])
+        want.append(not near)
+        if not near:
+            kept.append(s)
+    rows = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(3)
+    got = {r.seq: r.kept for r in dedup.window_dedup(rows, "seq", "text", 20, 0.5).collect()}
+    assert [got[i] for i in range(150)] == want and 10 < want.count(False) < 60
+    play = dedup._in_play(spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}") for i in range(30)] + [(98, "x y z u v"), (99, "x y z u v w")], "id long, text string"), dedup._common(rows, 3), 0.65, 3)
+    assert sorted(r.id for r in play.collect()) == [98, 99]
